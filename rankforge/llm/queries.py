@@ -13,6 +13,13 @@ def _tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import digest, scan
 
@@ -55,6 +62,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), _tokenizer())
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import language_id, train
+
+    docs = table(spark, sf_dir, "documents")
+    return language_id(docs, train(docs))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
