@@ -1,8 +1,61 @@
-"""The corpus pipeline: stages that each take and return documents."""
+"""The corpus pipeline: language ID, toxicity, near-duplicates, decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept; all but the last return
+the columns of documents. Language ID rejects texts without a language (null, no letters) and those whose best
+language has under 0.4 of the words; toxicity rejects scores of 0.5 or more; of a near-duplicate component the document
+of the smallest id stays, and repeated rows of an id stay once; documents with a benchmark item go; the rest is packed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rankforge.llm import decontaminate, language_id, packing, simhash, toxicity
+from rankforge.llm.common import materialize, table
+from rankforge.llm.queries import _tokenizer
+
+
+def identify_language(spark, docs, sf_dir):
+    found = language_id.predictor(docs, language_id.train(docs))(F.col("text"))
+    judged = docs.withColumn("__found", found)
+    return judged.where("__found.lang <> 'und' and __found.score >= 0.4").drop("__found")
+
+
+def filter_toxicity(spark, docs, sf_dir):
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.withColumn("__score", toxicity.scorer(docs, model)(F.col("text"))).where("__score < 0.5").drop("__score")
+
+
+def drop_near_duplicates(spark, docs, sf_dir):
+    found = simhash.near_duplicates(docs)
+    keep = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
+    keep = keep.withColumnRenamed("doc_id", "__keep")
+    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def remove_benchmark(spark, docs, sf_dir):
+    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), "__hits").where("size(__hits) = 0").drop("__hits")
+
+
+def pack_sequences(spark, docs, sf_dir):
+    return packing.pack(docs, _tokenizer())
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("toxicity", filter_toxicity),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("decontamination", remove_benchmark),
+    ("best_fit_packing", pack_sequences),
+]
+#: The models, edit distances and tokens cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, name)
+    return docs
