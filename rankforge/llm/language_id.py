@@ -145,7 +145,7 @@ class Model:
         return [(self.langs[b], float(min(1.0, sums[i, b] / lengths[i]))) if lengths[i] else ("und", 0.0) for i, b in enumerate(best)]
 
 
-def fit(texts: list[str], labels: list[str], steps: int = 60, chain: int = 32, lexicon_size: int = 200) -> Model:
+def fit(texts: list[str], labels: list[str], steps: int = 40, chain: int = 32, lexicon_size: int = 200) -> Model:
     """Maximum likelihood by Adam, all chains at once; a text's words bear its label."""
     langs = sorted(set(labels))
     k = len(langs)
@@ -195,7 +195,7 @@ def fit(texts: list[str], labels: list[str], steps: int = 60, chain: int = 32, l
     return Model(langs, W.astype(np.float32), np.exp(T).astype(np.float32), np.exp(S).astype(np.float32), lexicon)
 
 
-def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 250, max_chars: int = 50_000, fold: tuple[int, int] = (4, 2)) -> Model:
+def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 150, max_chars: int = 50_000, fold: tuple[int, int] = (4, 2)) -> Model:
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("y")).where("d is not null and y is not null")
     rows = rows.where(crc_mod(F.col("d"), fold[0]) != fold[1])
     few = sampled_ids(rows.select("d", "y"), "d", "y", per_lang)

@@ -1,7 +1,7 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (with its ends marked), so unseen misspellings share vectors with known
-words. Vectors are averaged over a window of words, and a linear softmax scores it; a text is as toxic as its most
+words. Vectors are averaged over a window of ``WINDOW`` words (one: best on held-out rows), and a linear softmax scores it; a text is as toxic as its most
 toxic window, so a few words in a long text count. Training takes at most ``per_class`` labelled rows of either class
 (those of the smallest id hash), first over whole-text averages, then over each text's top window; scoring reads every
 whole text map-side. Empty and null texts get the score of no words; repeated rows are scored each; without labels of
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import crc_mod, sampled_ids
 
-BUCKETS, DIM, WINDOW, CACHE = 1 << 17, 8, 3, 600_000
+BUCKETS, DIM, WINDOW, CACHE = 1 << 17, 8, 1, 600_000
 JUNK = re.compile(r"[\W_]+")
 
 
@@ -67,7 +67,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(top + self.bias, -30, 30))))
 
 
-def fit(texts: list[str | None], labels: list[int], steps: tuple[int, int] = (60, 140), seed: int = 0) -> Model:
+def fit(texts: list[str | None], labels: list[int], steps: tuple[int, int] = (30, 70), seed: int = 0) -> Model:
     """Adam over all texts at once: gradients reach vectors and softmax together."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -125,7 +125,7 @@ def fit(texts: list[str | None], labels: list[int], steps: tuple[int, int] = (60
     return Model(vectors, u.astype(np.float32), float(b[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 1500, fold: tuple[int, int] = (5, 0)) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 600, fold: tuple[int, int] = (5, 0)) -> Model:
     """Learns from at most 2 * per_class rows outside the held-out fold."""
     known = labels.select(F.col(doc_id).alias("d"), F.col(label).alias("y")).where("d is not null and y is not null")
     known = known.where(crc_mod(F.col("d"), fold[0]) != fold[1]).groupBy("d").agg(F.max("y").alias("y"))
