@@ -104,6 +104,8 @@ class Model:
         return row
 
     def predict(self, texts: list[str | None], most: int = 300_000) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
         out, rows, size = [], [], 0
         for t in texts:
             tokens = (t or "").split()
@@ -124,8 +126,8 @@ class Model:
         return out
 
     def _judge(self, rows: list[np.ndarray]) -> list[tuple[str, float]]:
-        if not self.langs or not rows:
-            return [("und", 0.0)] * len(rows)
+        if not rows:
+            return []
         lengths = np.array(list(map(len, rows)))
         sums = np.zeros((len(rows), len(self.langs)))
         flat = np.concatenate(rows)
