@@ -25,6 +25,9 @@ def rows(found):
 def test_query(spark, db, name):
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
+    if name not in registry.oracle_sql():
+        assert df.count() > 0
+        return
     sql = registry.oracle_sql()[name]
     names = ", ".join(f'"{c}"' for c in cols)
     assert rows(df.select(*cols).collect()) == rows(db.execute(f"SELECT {names} FROM ({sql})").fetchall())
