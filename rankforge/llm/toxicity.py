@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -20,15 +20,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import crc_mod, sampled_ids
 
-BUCKETS, DIM, WINDOW, CACHE = 1 << 17, 8, 1, 600_000
+VOCABULARY, DIM, WINDOW, CACHE = 1 << 17, 8, 1, 400_000
 JUNK = re.compile(r"[\W_]+")
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the n-grams of 3 to 6 characters and of the word."""
+def subwords(word: str) -> list[str]:
+    """The n-grams of 3 to 5 characters and the word, with its ends marked."""
     w = f"<{word[:40]}>"
-    grams = [w, *(w[i : i + n] for n in (3, 4, 5, 6) for i in range(len(w) - n + 1) if n < len(w))]
-    return [zlib.crc32(g.encode()) % BUCKETS for g in grams]
+    n = len(w)
+    return [w, *[w[i : i + 3] for i in range(n - 2)], *[w[i : i + 4] for i in range(n - 3)], *[w[i : i + 5] for i in range(n - 4)]]
 
 
 def clean(token: str) -> str:
@@ -36,16 +36,25 @@ def clean(token: str) -> str:
 
 
 class Model:
-    def __init__(self, vectors: np.ndarray, softmax: np.ndarray, bias: float):
-        self.vectors, self.softmax, self.bias = vectors, softmax, bias
+    """Vectors of the n-grams in ``names``; others have the zero vector."""
+
+    def __init__(self, names: list[str], vectors: np.ndarray, softmax: np.ndarray, bias: float | None):
+        self.names, self.vectors, self.softmax, self.bias = names, vectors, softmax, bias
+        self.share = dict(zip(names, (vectors @ softmax).tolist(), strict=True))  # the softmax of an average is the average of these
         self.known: dict[str, float] = {}
+        self.words: dict[str, float] = {"": float("nan")}
 
     def word(self, token: str) -> float:
         """The averaged embedding's share in the logit; a token of no letter or digit has none (NaN)."""
         v = self.known.get(token)
         if v is None:
             w = clean(token)
-            v = float(self.vectors[subwords(w)].mean(0) @ self.softmax) if w else float("nan")
+            v = self.words.get(w)
+            if v is None:
+                grams = subwords(w)
+                v = sum([self.share.get(g, 0.0) for g in grams]) / len(grams)
+                if len(self.words) < CACHE and len(w) < 60:
+                    self.words[w] = v
             if len(self.known) < CACHE and len(token) < 60:
                 self.known[token] = v
         return v
@@ -71,16 +80,20 @@ def fit(texts: list[str | None], labels: list[int], steps: tuple[int, int] = (30
     """Adam over all texts at once: gradients reach vectors and softmax together."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros((1, DIM), np.float32), np.zeros(DIM, np.float32), None)
+        return Model([], np.zeros((0, DIM), np.float32), np.zeros(DIM, np.float32), None)
     ids: dict[str, int] = {}
     seqs = []
     for t in texts:
         words = [w for w in map(clean, (t or "").split()) if w]
         seqs.append(np.array([ids.setdefault(w, len(ids)) for w in words] or [ids.setdefault("", len(ids))], np.int32))
     grams = [subwords(w) for w in ids]
+    often = Counter(g for x in grams for g in set(x))
+    names = [g for g, n in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n > 1] or [""]
+    index = {g: i for i, g in enumerate(names)}
     sizes = np.array(list(map(len, grams)))
-    used, gram = np.unique(np.concatenate([np.array(g) for g in grams]), return_inverse=True)
-    of_word, at = np.repeat(np.arange(len(ids)), sizes), np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    gram = np.array([index.get(g, -1) for x in grams for g in x])
+    of_word = np.repeat(np.arange(len(ids)), sizes)[gram >= 0]
+    gram = gram[gram >= 0]
     flat, length = np.concatenate(seqs), np.array(list(map(len, seqs)))
     begin = np.concatenate([[0], np.cumsum(length)[:-1]])
     doc_of = np.repeat(np.arange(len(seqs)), length)
@@ -90,11 +103,11 @@ def fit(texts: list[str | None], labels: list[int], steps: tuple[int, int] = (30
     w_at, w_doc = np.flatnonzero(ok), doc_of[ok]
     w_first = np.concatenate([[0], np.flatnonzero(np.diff(w_doc)) + 1])
     rng = np.random.default_rng(seed)
-    E, u, b = rng.normal(0, 0.1, (len(used), DIM)), rng.normal(0, 0.5, DIM), np.zeros(1)
+    E, u, b = rng.normal(0, 0.1, (len(names), DIM)), rng.normal(0, 0.5, DIM), np.zeros(1)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (E, u, b)]
     weight = np.where(y > 0, 0.5 / y.sum(), 1.0 / (1 - y).sum())
     for step in range(1, sum(steps) + 1):
-        scores = np.add.reduceat((E @ u)[gram], at) / sizes
+        scores = np.bincount(of_word, (E @ u)[gram], len(ids)) / sizes
         s = scores[flat]
         c = np.concatenate([[0.0], np.cumsum(s)])
         if step <= steps[0]:
@@ -114,15 +127,13 @@ def fit(texts: list[str | None], labels: list[int], steps: tuple[int, int] = (30
                 d = w_doc[best]
                 use = k < n_win[d]
                 on_words += np.bincount(flat[w_at[best][use] + k], (g / n_win)[d[use]], len(ids))
-        on_grams = np.bincount(gram, (on_words / sizes)[of_word], len(used))
+        on_grams = np.bincount(gram, (on_words / sizes)[of_word], len(names))
         grads = (np.outer(on_grams, u) + 1e-6 * E, E.T @ on_grams + 1e-6 * u, np.array([g.sum()]))
         for p, d, m in zip((E, u, b), grads, moments, strict=True):
             m[0] += 0.1 * (d - m[0])
             m[1] += 0.01 * (d * d - m[1])
             p -= 0.05 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
-    vectors = np.zeros((BUCKETS, DIM), np.float32)
-    vectors[used] = E
-    return Model(vectors, u.astype(np.float32), float(b[0]))
+    return Model(names, E.astype(np.float32), u.astype(np.float32), float(b[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 600, fold: tuple[int, int] = (5, 0)) -> Model:
@@ -139,8 +150,8 @@ _models: dict = {}
 
 
 def scorer(docs: DataFrame, model: Model):
-    """A column function: text to score. The model (about 4 MB) is broadcast; word scores are cached by worker."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.vectors, model.softmax, model.bias))
+    """A column function: text to score. The model (VOCABULARY n-grams at most, under 8 MB) is broadcast; word scores are cached by worker."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.names, model.vectors, model.softmax, model.bias))
     key = uuid.uuid4().hex
 
     def score(texts: pd.Series) -> pd.Series:
