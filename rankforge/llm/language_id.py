@@ -13,8 +13,8 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import crc_mod, sampled_ids
 
-BUCKETS, CHAIN, CACHE = 1 << 16, 256, 600_000
+VOCABULARY, CHAIN, CACHE = 1 << 17, 256, 400_000
 JUNK = re.compile(r"[\W\d_]+")
 
 
@@ -30,11 +30,14 @@ def clean(token: str) -> str:
     return JUNK.sub("", token.lower())
 
 
-def features(word: str, lexicon: dict[str, tuple[str, ...]]) -> list[int]:
+def features(word: str, lexicon: dict[str, tuple[str, ...]]) -> list[str]:
+    """The word, its affixes, its languages by lexicon, and its n-grams; names tell them apart by their first sign."""
     w = word[:40]
-    named = [f"w{w}", *(f"p{w[:n]}" for n in (1, 2, 3)), *(f"s{w[-n:]}" for n in (1, 2, 3))]
-    named += [f"n{w[i : i + n]}" for n in (1, 2, 3) for i in range(len(w) - n + 1)] + [f"l{x}" for x in lexicon.get(w, ())]
-    return [zlib.crc32(f.encode()) % BUCKETS for f in named]
+    n = len(w)
+    named = ["=" + w, "^" + w[:1], "^" + w[:2], "^" + w[:3], "$" + w[-1:], "$" + w[-2:], "$" + w[-3:]]
+    if w in lexicon:
+        named += ["@" + x for x in lexicon[w]]
+    return [*named, *w, *[w[i : i + 2] for i in range(n - 1)], *[w[i : i + 3] for i in range(n - 2)]]
 
 
 def forward_backward(e: np.ndarray, trans: np.ndarray, start: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,52 +83,75 @@ def chains(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, langs: list[str], weights: np.ndarray, trans: np.ndarray, start: np.ndarray, lexicon: dict):
-        self.langs, self.weights, self.trans, self.start, self.lexicon = langs, weights, trans, start, lexicon
+    """Weights of the features in ``names``; others weigh nothing."""
+
+    def __init__(self, langs: list[str], names: list[str], weights: np.ndarray, trans: np.ndarray, start: np.ndarray, lexicon: dict):
+        self.langs, self.names, self.weights, self.trans, self.start, self.lexicon = langs, names, weights, trans, start, lexicon
+        self.index = {x: i for i, x in enumerate(names)}
         self.known: dict[str, int] = {}
-        self.table = np.zeros((CACHE, len(langs)), np.float32)
-        self.extra: list[np.ndarray] = []
-
-    def emission(self, token: str) -> int:
-        """The row of the token's potentials; -1 for a token without letters."""
-        w = clean(token)
-        if not w:
-            row = -1
-        else:
-            z = self.weights[features(w, self.lexicon)].sum(0)
-            z = np.exp(np.maximum(z - z.max(), -30))
-            if len(self.known) >= CACHE - 1 or len(token) >= 60:
-                self.extra.append(z)
-                return CACHE + len(self.extra) - 1
-            row = len(self.known)
-            self.table[row] = z
-        if len(self.known) < CACHE - 1:
-            self.known[token] = row
-        return row
+        self.words: dict[str, int] = {"": -1}
+        self.table = np.zeros((CACHE, max(1, len(langs))), np.float32)
+
+    def learn(self, tokens: list[str], found: list) -> np.ndarray | None:
+        """Fills in the rows of the table of tokens without one (-1: no letter); what the table cannot hold is returned beside it."""
+        missing = [i for i, r in enumerate(found) if r is None]
+        new: dict[str, list[int]] = {}
+        for i in missing:
+            w = clean(tokens[i])
+            r = self.words.get(w)
+            if r is None:
+                new.setdefault(w, []).append(i)
+            else:
+                found[i] = r
+                if len(self.known) < CACHE and len(tokens[i]) < 60:
+                    self.known[tokens[i]] = r
+        if not new:
+            return None
+        none = len(self.names)
+        feats = [[self.index.get(f, none) for f in features(w, self.lexicon)] for w in new]
+        sizes = np.array(list(map(len, feats)))
+        z = np.add.reduceat(np.concatenate([self.weights, self.weights[:1] * 0])[np.fromiter(chain.from_iterable(feats), np.int64)], np.cumsum(sizes) - sizes)
+        z = np.exp(np.maximum(z - z.max(1, keepdims=True), -30))
+        beyond = []
+        for k, (w, places) in enumerate(new.items()):
+            row = len(self.words) - 1
+            if row < CACHE and len(w) < 60:
+                self.table[row] = z[k]
+                self.words[w] = row
+            else:
+                row = CACHE + len(beyond)
+                beyond.append(z[k])
+            for i in places:
+                found[i] = row
+                if row < CACHE and len(self.known) < CACHE and len(tokens[i]) < 60:
+                    self.known[tokens[i]] = row
+        return np.array(beyond, np.float32) if beyond else None
 
     def predict(self, texts: list[str | None], most: int = 300_000) -> list[tuple[str, float]]:
         if not self.langs:
             return [("und", 0.0)] * len(texts)
-        out, rows, size = [], [], 0
+        out, held, size = [], [], 0
         for t in texts:
-            tokens = (t or "").split()
-            found = list(map(self.known.get, tokens))
-            if None in found:
-                for i, x in enumerate(tokens):
-                    if found[i] is None:
-                        r = self.known.get(x)
-                        found[i] = self.emission(x) if r is None else r
-            a = np.array(found, np.int64)
-            rows.append(a[a >= 0])
-            size += len(rows[-1])
+            held.append((t or "").split())
+            size += len(held[-1])
             if size >= most:
-                out += self._judge(rows)
-                rows, size, self.extra = [], 0, []
-        out += self._judge(rows)
-        self.extra = []
-        return out
-
-    def _judge(self, rows: list[np.ndarray]) -> list[tuple[str, float]]:
+                out += self._rows(held)
+                held, size = [], 0
+        return out + self._rows(held)
+
+    def _rows(self, held: list[list[str]]) -> list[tuple[str, float]]:
+        tokens = [x for h in held for x in h]
+        found = list(map(self.known.get, tokens))
+        beyond = self.learn(tokens, found) if None in found else None
+        table = self.table if beyond is None else np.concatenate([self.table, beyond])
+        flat, out, at = np.array(found, np.int64), [], 0
+        for h in held:
+            a = flat[at : at + len(h)]
+            out.append(a[a >= 0])
+            at += len(h)
+        return self._judge(out, table)
+
+    def _judge(self, rows: list[np.ndarray], table: np.ndarray) -> list[tuple[str, float]]:
         if not rows:
             return []
         lengths = np.array(list(map(len, rows)))
@@ -135,7 +161,6 @@ class Model:
         row, first = chains(lengths)
         size = np.minimum(CHAIN, lengths[row] - first)
         order = np.argsort(-size, kind="stable")
-        table = self.table if not self.extra else np.concatenate([self.table, np.array(self.extra, np.float32)])
         for i in range(0, len(order), 512):
             c = order[i : i + 512]
             t = np.arange(size[c[0]])[:, None]
@@ -147,12 +172,12 @@ class Model:
         return [(self.langs[b], float(min(1.0, sums[i, b] / lengths[i]))) if lengths[i] else ("und", 0.0) for i, b in enumerate(best)]
 
 
-def fit(texts: list[str], labels: list[str], steps: int = 40, chain: int = 32, lexicon_size: int = 200) -> Model:
+def fit(texts: list[str], labels: list[str], steps: int = 40, part: int = 32, lexicon_size: int = 200) -> Model:
     """Maximum likelihood by Adam, all chains at once; a text's words bear its label."""
     langs = sorted(set(labels))
     k = len(langs)
-    if not k:
-        return Model([], np.zeros((1, 1), np.float32), np.ones((1, 1), np.float32), np.ones(1, np.float32), {})
+    if not k:  # nothing to learn
+        return Model([], [], np.zeros((1, 1), np.float32), np.ones((1, 1), np.float32), np.ones(1, np.float32), {})
     docs = [([w for w in map(clean, t.split()) if w], langs.index(x)) for t, x in zip(texts, labels, strict=True)]
     counts = [Counter() for _ in langs]
     for words, y in docs:
@@ -165,18 +190,22 @@ def fit(texts: list[str], labels: list[str], steps: int = 40, chain: int = 32, l
     seqs, ys = [], []
     for words, y in docs:
         x = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
-        seqs += [x[i : i + chain] for i in range(0, len(x), chain)]
+        seqs += [x[i : i + part] for i in range(0, len(x), part)]
         ys += [y] * (len(seqs) - len(ys))
     n = len(seqs)
     size = np.array(list(map(len, seqs)))
-    x = np.zeros((n, chain), np.int64)
+    x = np.zeros((n, part), np.int64)
     for i, s in enumerate(seqs):
         x[i, : len(s)] = s
-    x, y, mask = x.T, np.array(ys), (np.arange(chain)[:, None] < size)
-    feats = [features(w, lexicon) for w in ids]
+    x, y, mask = x.T, np.array(ys), (np.arange(part)[:, None] < size)
+    named = [features(w, lexicon) for w in ids]
+    often = Counter(f for x in named for f in x)
+    names = [f for f, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
+    index = {f: i for i, f in enumerate(names)}
+    feats = [[index[f] for f in x if f in index] for x in named]
     sizes = np.array(list(map(len, feats)))
     flat, at, of_word = np.concatenate([np.array(f) for f in feats]), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(ids)), sizes)
-    W, T, S = np.zeros((BUCKETS, k)), np.eye(k) * 2.0, np.zeros(k)
+    W, T, S = np.zeros((len(names), k)), np.eye(k) * 2.0, np.zeros(k)
     gold_words = np.bincount((x * k + y)[mask], minlength=len(ids) * k).reshape(-1, k)
     gold_trans = np.diag(np.bincount(y, size - 1, k))
     gold_start = np.bincount(y, minlength=k)
@@ -188,13 +217,13 @@ def fit(texts: list[str], labels: list[str], steps: int = 40, chain: int = 32, l
         p, pairs = forward_backward(z[x], trans, start, mask)
         p *= mask[:, :, None]
         on_words = np.stack([np.bincount(x.ravel(), p[:, :, j].ravel(), len(ids)) for j in range(k)], 1) - gold_words
-        grad = np.stack([np.bincount(flat, on_words[of_word, j], BUCKETS) for j in range(k)], 1)
+        grad = np.stack([np.bincount(flat, on_words[of_word, j], len(names)) for j in range(k)], 1)
         grads = (grad / n + 1e-5 * W, (pairs - gold_trans) / n + 1e-3 * T, (p[0].sum(0) - gold_start) / n)
         for q, d, m in zip((W, T, S), grads, moments, strict=True):
             m[0] += 0.1 * (d - m[0])
             m[1] += 0.01 * (d * d - m[1])
             q -= 0.05 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
-    return Model(langs, W.astype(np.float32), np.exp(T).astype(np.float32), np.exp(S).astype(np.float32), lexicon)
+    return Model(langs, names, W.astype(np.float32), np.exp(T).astype(np.float32), np.exp(S).astype(np.float32), lexicon)
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 150, max_chars: int = 50_000, fold: tuple[int, int] = (4, 2)) -> Model:
@@ -209,8 +238,8 @@ _models: dict = {}
 
 
 def predictor(docs: DataFrame, model: Model):
-    """A column function: text to (lang, score). The model is about 1 MB for four languages."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.trans, model.start, model.lexicon))
+    """A column function: text to (lang, score). The model holds VOCABULARY features at most (a few MB)."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.names, model.weights, model.trans, model.start, model.lexicon))
     key = uuid.uuid4().hex
 
     def predict(texts: pd.Series) -> pd.DataFrame:
