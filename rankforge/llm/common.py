@@ -49,8 +49,11 @@ def sampled_ids(df: DataFrame, id_col: str, label_col: str, per_label: int) -> D
     """At most ``per_label`` ids of each label value, those of the smallest hash: a bounded training sample."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy(label_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col))
-    return df.select(id_col, label_col).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= per_label).drop("rn")
+    order = [F.xxhash64(F.col(id_col)), F.col(id_col)]
+    rows = df.select(id_col, label_col).withColumn("__b", F.pmod(F.xxhash64(F.col(id_col)), F.lit(256)))
+    for by in ([label_col, "__b"], [label_col]):  # a hot label is thinned out by bucket first
+        rows = rows.withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= per_label).drop("rn")
+    return rows.drop("__b")
 
 
 def in_doc_order(df: DataFrame, order: str, parts: int, bounds: list[int]) -> DataFrame:
