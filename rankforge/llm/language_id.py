@@ -11,29 +11,36 @@ row all are ``und``.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .common import crc_mod, sampled_ids
 
-VOCABULARY, CHAIN, CACHE = 1 << 17, 256, 400_000
-JUNK = re.compile(r"[\W\d_]+")
+VOCABULARY, CHAIN, CACHE, LONG = 1 << 17, 256, 400_000, 40
+JUNK = regex.compile(r"\P{L}+")
 
 
 def clean(token: str) -> str:
     return JUNK.sub("", token.lower())
 
 
+def split(text: str | None) -> list[str]:
+    """Tokens by white space; those longer than LONG characters (scripts without spaces too) as pieces of that many."""
+    tokens = (text or "").split()
+    if max(map(len, tokens), default=0) > LONG:
+        tokens = [x[i : i + LONG] for x in tokens for i in range(0, len(x), LONG)]
+    return tokens
+
+
 def features(word: str, lexicon: dict[str, tuple[str, ...]]) -> list[str]:
     """The word, its affixes, its languages by lexicon, and its n-grams; names tell them apart by their first sign."""
-    w = word[:40]
-    n = len(w)
+    w, n = word, len(word)
     named = ["=" + w, "^" + w[:1], "^" + w[:2], "^" + w[:3], "$" + w[-1:], "$" + w[-2:], "$" + w[-3:]]
     if w in lexicon:
         named += ["@" + x for x in lexicon[w]]
@@ -132,7 +139,7 @@ class Model:
             return [("und", 0.0)] * len(texts)
         out, held, size = [], [], 0
         for t in texts:
-            held.append((t or "").split())
+            held.append(split(t))
             size += len(held[-1])
             if size >= most:
                 out += self._rows(held)
@@ -178,7 +185,7 @@ def fit(texts: list[str], labels: list[str], steps: int = 40, part: int = 32, le
     k = len(langs)
     if not k:  # nothing to learn
         return Model([], [], np.zeros((1, 1), np.float32), np.ones((1, 1), np.float32), np.ones(1, np.float32), {})
-    docs = [([w for w in map(clean, t.split()) if w], langs.index(x)) for t, x in zip(texts, labels, strict=True)]
+    docs = [([w for w in map(clean, split(t)) if w], langs.index(x)) for t, x in zip(texts, labels, strict=True)]
     counts = [Counter() for _ in langs]
     for words, y in docs:
         counts[y].update(words)

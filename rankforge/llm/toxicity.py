@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import crc_mod, sampled_ids
 
 VOCABULARY, DIM, WINDOW, CACHE = 1 << 17, 8, 1, 400_000
+#: Characters of a word that are judged at once, and how many of them the next piece of a longer word shares.
+LONG, SHARED = 40, 4
 JUNK = re.compile(r"[\W_]+")
 
 
 def subwords(word: str) -> list[str]:
     """The n-grams of 3 to 5 characters and the word, with its ends marked."""
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     n = len(w)
     return [w, *[w[i : i + 3] for i in range(n - 2)], *[w[i : i + 4] for i in range(n - 3)], *[w[i : i + 5] for i in range(n - 4)]]
 
@@ -35,6 +37,11 @@ def clean(token: str) -> str:
     return JUNK.sub("", token.lower())
 
 
+def pieces(word: str) -> list[str]:
+    """The word, or overlapping pieces of one longer than LONG, each judged as a word."""
+    return [word[i : i + LONG] for i in range(0, max(1, len(word) - SHARED), LONG - SHARED)]
+
+
 class Model:
     """Vectors of the n-grams in ``names``; others have the zero vector."""
 
@@ -45,14 +52,13 @@ class Model:
         self.words: dict[str, float] = {"": float("nan")}
 
     def word(self, token: str) -> float:
-        """The averaged embedding's share in the logit; a token of no letter or digit has none (NaN)."""
+        """The averaged embedding's share in the logit (of a long word, its top piece's); a token of no letter or digit has none (NaN)."""
         v = self.known.get(token)
         if v is None:
             w = clean(token)
             v = self.words.get(w)
             if v is None:
-                grams = subwords(w)
-                v = sum([self.share.get(g, 0.0) for g in grams]) / len(grams)
+                v = max(sum([self.share.get(g, 0.0) for g in grams]) / len(grams) for grams in map(subwords, pieces(w)))
                 if len(self.words) < CACHE and len(w) < 60:
                     self.words[w] = v
             if len(self.known) < CACHE and len(token) < 60:
@@ -84,7 +90,7 @@ def fit(texts: list[str | None], labels: list[int], steps: tuple[int, int] = (30
     ids: dict[str, int] = {}
     seqs = []
     for t in texts:
-        words = [w for w in map(clean, (t or "").split()) if w]
+        words = [p for w in map(clean, (t or "").split()) if w for p in pieces(w)]
         seqs.append(np.array([ids.setdefault(w, len(ids)) for w in words] or [ids.setdefault("", len(ids))], np.int32))
     grams = [subwords(w) for w in ids]
     often = Counter(g for x in grams for g in set(x))

@@ -318,3 +318,21 @@ def test_decontamination_against_all_windows(spark, docs, none):
         assert {(h.doc_id, h.item_id) for h in decontaminate.decontaminate(made, bench, most_items=most).collect()} == want
     assert decontaminate.decontaminate(docs, bench).count() == 0 == decontaminate.decontaminate(none, bench).count()
     assert decontaminate.decontaminate(made, bench.limit(0)).count() == 0
+
+
+def test_toxicity_reads_the_end_of_a_long_word():
+    from rankforge.llm import toxicity
+
+    texts = ["you idiot", "such idiots", "a nice day", "good work here"] * 5
+    model = toxicity.fit(texts, [1, 1, 0, 0] * 5)
+    assert model.score("x" * 500 + "idiot") > model.score("x" * 505)
+    assert "".join(p[4:] if i else p for i, p in enumerate(toxicity.pieces("ab" * 77))) == "ab" * 77
+    assert toxicity.pieces("y" * 40) == ["y" * 40]
+
+
+def test_language_reads_the_end_of_a_long_word_and_wants_letters():
+    from rankforge.llm import language_id
+
+    model = language_id.fit(["the cat and the dog"] * 4 + ["der hund und die katze"] * 4, ["en"] * 4 + ["de"] * 4)
+    got = model.predict(["q" * 45 + "derhundunddiekatze" * 20, "q" * 45 + "thecatandthedog" * 20, "½ ² 7", "", None])
+    assert [x for x, _ in got] == ["de", "en", "und", "und", "und"]
