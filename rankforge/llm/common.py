@@ -13,7 +13,7 @@ _own: dict[str, str] = {}
 
 def work_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one of our own only where that is unset."""
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     if "dir" not in _own:

@@ -142,13 +142,13 @@ def fit(texts: list[str | None], labels: list[int], steps: tuple[int, int] = (30
     return Model(names, E.astype(np.float32), u.astype(np.float32), float(b[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 600, fold: tuple[int, int] = (5, 0)) -> Model:
-    """Learns from at most 2 * per_class rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 600, max_chars: int = 100_000, fold: tuple[int, int] = (5, 0)) -> Model:
+    """Learns from at most 2 * per_class rows of up to max_chars characters (training only) outside the held-out fold."""
     known = labels.select(F.col(doc_id).alias("d"), F.col(label).alias("y")).where("d is not null and y is not null")
     known = known.where(crc_mod(F.col("d"), fold[0]) != fold[1]).groupBy("d").agg(F.max("y").alias("y"))
     there = docs.select(F.col(doc_id).alias("d")).where("d is not null").distinct()
     few = sampled_ids(known.join(there, "d", "left_semi"), "d", "y", per_class)
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(few), "d").dropDuplicates(["d"]).orderBy("d").collect()
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.coalesce(F.length("t"), F.lit(0)) <= max_chars).join(F.broadcast(few), "d").dropDuplicates(["d"]).orderBy("d").collect()
     return fit([r["t"] for r in rows], [r["y"] for r in rows])
 
 
