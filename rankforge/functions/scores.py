@@ -27,3 +27,52 @@ def routing_scores(picked: Column, target: Column) -> Column:
     shared = F.size(F.array_intersect(picked, target))
     some = 0.5 * (shared > 0).cast("double") + 0.3 * F.try_divide(shared, F.size(target)) + 0.2 * F.try_divide(shared, F.size(picked))
     return F.when((F.size(picked) == 0) & (F.size(target) == 0), 1.0).when((F.size(picked) == 0) | (F.size(target) == 0), 0.0).otherwise(some)
+
+
+def token_f1(a: Column, b: Column) -> Column:
+    """F1 of the sets of lower-cased alphanumeric words."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"))
+    return set_f1(words(a), words(b))
+
+
+def label_pair_score(a: Column, b: Column, specific: dict[str, tuple[str, ...]], broad: dict[str, tuple[str, ...]], conflicts: list[tuple[str, str]]) -> Column:
+    """Likeness of two labels: 1 if equal, else word F1, raised to 0.85 if one holds the other or both bear a specific
+    term, to 0.7 if both bear a broad one; 0.45 at most if they name conflicting subtypes. A term is borne by its name
+    or any of its patterns."""
+    nothing = F.lit(False)
+
+    def any_of(tests: list[Column]) -> Column:
+        out = nothing
+        for x in tests:
+            out = out | x
+        return out
+
+    bears = lambda c, term, patterns: any_of([F.contains(c, F.lit(p)) for p in (term, *patterns)])
+    both = lambda terms: any_of([bears(a, k, p) & bears(b, k, p) for k, p in terms.items()])
+    has = lambda c, x: F.contains(c, F.lit(x))
+    apart = any_of([has(a, x) & has(b, y) | has(a, y) & has(b, x) for x, y in conflicts])
+    raised = F.when(both(specific), 0.85).when(both(broad), 0.7).otherwise(0.0)
+    score = F.greatest(token_f1(a, b), F.when(F.contains(a, b) | F.contains(b, a), 0.85).otherwise(0.0), raised)
+    return F.when(a == b, 1.0).otherwise(F.when(apart, F.least(score, F.lit(0.45))).otherwise(score))
+
+
+def label_field_score(a: Column, b: Column, pair) -> Column:
+    """Over two lists of labels: the best pair if either has one label, else the mean of both sides' best-match means.
+    Two empty lists are alike (1), an empty and another one not (0)."""
+    best = lambda x, y: F.transform(x, lambda e: F.array_max(F.transform(y, lambda o: pair(e, o))))
+    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
+    one = F.array_max(best(a, b))
+    cover = 0.5 * (mean(best(a, b)) + mean(best(b, a)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).when((F.size(a) == 1) | (F.size(b) == 1), one).otherwise(cover)
+
+
+def support_grounding(cited: Column, given: Column, text: Column) -> Column:
+    """The share of what is cited that was given; without citations 0.25 for an answer with text, else 0."""
+    cited = F.array_distinct(cited)
+    none = F.when(F.trim(F.coalesce(text, F.lit(""))) != "", 0.25).otherwise(0.0)
+    return F.when(F.size(cited) == 0, none).otherwise(F.try_divide(F.size(F.array_intersect(cited, given)), F.size(cited)))
+
+
+def evidence_alignment(support: Column, support_seen: Column, negative: Column, negative_seen: Column) -> Column:
+    """0.9 of the F1 of supporting items and 0.1 of the F1 of negative ones."""
+    return 0.9 * set_f1(support, support_seen) + 0.1 * set_f1(negative, negative_seen)

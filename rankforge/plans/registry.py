@@ -384,3 +384,4 @@ _serial = iter(range(10**9))
 
 
 from rankforge.plans import more as _more  # noqa: E402, F401  registers further queries
+from rankforge.plans import building as _building  # noqa: E402, F401

@@ -16,3 +16,48 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def fold_stream(ops: DataFrame, key: str, seq: str, op: str, amount: str) -> DataFrame:
+    """The rule store as arbitrary state: a row (key, counter, tags, live, seq) for each key that a micro-batch touches.
+
+    ADD opens a key with its amount, UPDATE sets and TAG adds to the counter of a live one, REMOVE ends it; other
+    operations on a key that does not live are ignored. A micro-batch's operations on a key are ordered by ``seq``;
+    later batches must hold later ones. State is three numbers a key; null keys are left out. A hot key's operations
+    in one batch are read by one task, so the batch's size (the source's rate options) is their bound.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    kind = dict(ops.dtypes)[key]
+
+    def step(k, frames, state):
+        live, counter, tags = state.get if state.exists else (False, 0, 0)
+        rows = pd.concat(list(frames)).sort_values(seq)
+        for what, n in zip(rows[op], rows[amount], strict=True):
+            if what == "ADD":
+                live, counter, tags = True, int(n), 0
+            elif what == "REMOVE":
+                live, counter, tags = False, 0, 0
+            elif live and what == "UPDATE":
+                counter = int(n)
+            elif live and what == "TAG":
+                counter, tags = counter + int(n), tags + 1
+        state.update((bool(live), int(counter), int(tags)))
+        yield pd.DataFrame({key: [k[0]], "counter": [counter], "tags": [tags], "live": [live], "seq": [int(rows[seq].max())]})
+
+    x = ops.select(key, F.col(seq).cast("long").alias(seq), op, F.coalesce(F.col(amount).cast("long"), F.lit(0)).alias(amount)).where(F.col(key).isNotNull())
+    return x.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, counter long, tags long, live boolean, seq long", "live boolean, counter long, tags long", "update", GroupStateTimeout.NoTimeout)
+
+
+def upsert_to_end(stream: DataFrame, path: str, checkpoint: str, key: str, seq: str = "seq") -> DataFrame:
+    """Drains an update-mode stream into a Parquet folder a batch (a repeated batch overwrites its own) and reads each key's last row."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    q = stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(path)
+    names = [c for c in stream.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), seq).alias("__x")).select(key, "__x.*")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rankforge.functions import scores, text
-from rankforge.operators import playbook, ranking, splitting
+from rankforge.operators import building, playbook, ranking, splitting
 from rankforge.sources import files
 from rankforge.streaming import playbook as stream
 
@@ -61,3 +61,32 @@ def test_stream_windows_append(spark, tmp_path):
     source = spark.readStream.schema("event_id long, ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
     got = stream.run_to_end(stream.event_windows(source), str(tmp_path / "out"), str(tmp_path / "check"))
     assert sorted(r["n"] for r in got.collect()) == [3, 3]  # the last window is still open
+
+
+def test_fold_stream_equals_batch_fold(spark, tmp_path):
+    kinds = ["ADD", "TAG", "UPDATE", "TAG", "REMOVE", "TAG"]
+    ops = [(f"k{i * 7 % 5}", i, kinds[i * 11 % 13 % 6], i % 4) for i in range(300)] + [(None, 300, "ADD", 1)]
+    schema = "k string, n long, op string, amount long"
+    for part in range(3):
+        spark.createDataFrame(ops[part * 100 : part * 100 + 100 + (part == 2)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={part}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    got = stream.upsert_to_end(stream.fold_stream(source, "k", "n", "op", "amount"), f"{tmp_path}/out", f"{tmp_path}/check", "k")
+    expected = playbook.fold(spark.createDataFrame(ops[:300], schema), "k", ["n"], "op", "amount")
+    rows = sorted((r["k"], r["counter"], r["tags"]) for r in expected.collect())
+    assert rows and sorted((r["k"], r["counter"], r["tags"]) for r in got.where("live").collect()) == rows
+
+
+def test_label_scores(spark):
+    pair = lambda a, b: scores.label_pair_score(a, b, {"fibre": ("thread",)}, {"cell": ()}, [("alpha", "beta")])
+    df = spark.createDataFrame([("a b", "a b"), ("alpha cell", "beta cell"), ("wool thread", "fibre x"), ("cell one", "cell two"), ("x", "y x z"), ("p", "q")], "a string, b string")
+    assert [round(r[0], 4) for r in df.select(pair(F.col("a"), F.col("b"))).collect()] == [1.0, 0.45, 0.85, 0.7, 0.85, 0.0]
+    lists = spark.createDataFrame([([], []), (["a"], []), (["a"], ["b", "a"]), (["a", "b"], ["a", "c"])], "a array<string>, b array<string>")
+    assert [r[0] for r in lists.select(scores.label_field_score(F.col("a"), F.col("b"), pair)).collect()] == [1.0, 0.0, 1.0, 0.5]
+
+
+def test_choose_strategy(spark):
+    names = "strategy string, groups long, train long, val long, test long, error double"
+    pick = lambda rows: [tuple(r) for r in building.choose_strategy(spark.createDataFrame(rows, names)).collect()]
+    assert pick([("a", 9, 8, 1, 1, 0.01), ("b", 20, 8, 1, 1, 0.01), ("c", 2, 8, 1, 1, 0.0)]) == [("b", "viable", 20)]
+    assert pick([("a", 3, 8, 1, 1, 0.1), ("b", 3, 10, 0, 0, 0.0)]) == [("a", "nonempty", 3)]
+    assert pick([("b", 1, 10, 0, 0, 0.2)]) == [("b", "any", 1)] and pick([]) == []
