@@ -2,15 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept; all but the last return
 the columns of documents. Language ID rejects texts without a language (null, no letters) and those whose best
-language has under 0.4 of the words; toxicity rejects scores of 0.5 or more; of a near-duplicate component the document
-of the smallest id stays, and repeated rows of an id stay once; documents with a benchmark item go; the rest is packed.
+language has under 0.4 of the words; toxicity rejects scores of 0.5 or more; near copies are linked at a Jaccard
+similarity of 0.8 or more of their five-word shingles (op6's SimHash contract is tighter and holds for op6 alone), and
+one row of each component stays, that of the smallest id; documents with a benchmark item go; the rest is packed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rankforge.llm import decontaminate, language_id, packing, simhash, toxicity
+from rankforge.llm import decontaminate, language_id, near_copies, packing, toxicity
 from rankforge.llm.common import materialize, table
 from rankforge.llm.queries import _tokenizer
 
@@ -27,10 +28,7 @@ def filter_toxicity(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    found = simhash.near_duplicates(docs)
-    keep = found.where("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    keep = keep.withColumnRenamed("doc_id", "__keep")
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id"])
+    return near_copies.keep_one(docs)
 
 
 def remove_benchmark(spark, docs, sf_dir):
