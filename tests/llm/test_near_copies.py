@@ -56,6 +56,13 @@ def test_planted_near_copies(spark):
     assert sorted(i for i, _ in stay(spark, rows)) == sorted(first.values())
 
 
+def test_rows_without_ids_and_shared_ids(spark):
+    text = lambda s: " ".join(f"{s}{j}" for j in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("a")), (7, text("c")), (7, text("d")), (7, text("c")), (3, text("b")), (None, None), (8, "")]
+    got = stay(spark, rows)
+    assert sorted(got, key=str) == sorted([(None, text("a")), (7, text("c")), (7, text("d")), (3, text("b")), (8, "")], key=str)
+
+
 @pytest.mark.parametrize("limits", [{"group_rows": 5}, {"group_shingles": 300}])
 def test_large_groups_in_chunks(spark, limits):
     base = [f"w{i}" for i in range(120)]
