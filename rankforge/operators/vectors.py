@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,20 +10,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
-def neighbours(queries: DataFrame, base: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", most_mb: int = 512) -> DataFrame:
+def neighbours(queries: DataFrame, base: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block_rows: int = 4096) -> DataFrame:
     """(q_id, q_label, id, label, cosine, rank): the k nearest of the base by cosine, the query's own id excluded, ties by id.
 
-    The stated query set must fit in ``most_mb`` (checked) and is broadcast; the base is read once and keeps k
-    candidates a query and batch, so no product of the tables is made.
+    Queries of any number are streamed in blocks of ``block_rows``; the base meets one broadcast block at a time and
+    keeps k candidates a query and batch. Each block's best go to one table, so the driver never holds more than a block
+    and one partition of the queries, and no product of the tables is made.
     """
-    rows = queries.select(vec_id, vector, label).collect()
-    if sum(len(r[1]) for r in rows) * 8 > most_mb * 1_000_000:
-        raise ValueError("query set too large: give it in blocks")
+    spark = queries.sparkSession
+    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.col("cosine").desc(), "id"))
+    best = lambda x: x.withColumn("rank", rank).where(F.col("rank") <= k)
+    stream = queries.select(vec_id, vector, label).toLocalIterator()
+    rows, ahead, path = list(itertools.islice(stream, block_rows)), None, None
+    if not rows:
+        return spark.createDataFrame([], "q_id long, q_label int, id long, label int, cosine double, rank int")
+    while rows:
+        ahead = list(itertools.islice(stream, block_rows))
+        near, shared = _against(rows, base, k, vec_id, vector, label)
+        if not ahead and path is None:
+            return best(near)
+        from rankforge.llm.common import new_path
+
+        path = path or new_path(spark, "neighbours")
+        best(near).drop("rank").write.mode("append").parquet(path)
+        shared.destroy()
+        rows = ahead
+    return best(spark.read.schema("q_id long, q_label int, id long, label int, cosine double").parquet(path))
+
+
+def _against(rows: list, base: DataFrame, k: int, vec_id: str, vector: str, label: str) -> tuple:
+    """The k candidates of each base batch for one block of queries, and the block's broadcast."""
     ids = np.array([r[0] for r in rows], np.int64)
     labels = [r[2] for r in rows]
     vectors = np.array([r[1] for r in rows], float)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12) if len(rows) else 1
-    shared = queries.sparkSession.sparkContext.broadcast((ids, labels, vectors))
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    shared = base.sparkSession.sparkContext.broadcast((ids, labels, vectors))
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q_ids, q_labels, q = shared.value
@@ -40,11 +62,7 @@ def neighbours(queries: DataFrame, base: DataFrame, k: int, *, vec_id: str = "ve
                 out = pd.DataFrame({"q_id": q_ids[i + at], "q_label": [q_labels[i + j] for j in at], "id": own[best.ravel()], "label": lab[best.ravel()], "cosine": c})
                 yield out[out["cosine"] > -2]
 
-    if not rows:
-        return queries.sparkSession.createDataFrame([], "q_id long, q_label int, id long, label int, cosine double, rank int")
-    near = base.select(vec_id, vector, label).mapInPandas(work, "q_id long, q_label int, id long, label int, cosine double")
-    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.col("cosine").desc(), "id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return base.select(vec_id, vector, label).mapInPandas(work, "q_id long, q_label int, id long, label int, cosine double"), shared
 
 
 def recall_at(near: DataFrame, ks: tuple[int, ...]) -> DataFrame:

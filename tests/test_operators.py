@@ -1,9 +1,10 @@
 """Edge rules of the operators on small rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rankforge.functions import scores, text
-from rankforge.operators import building, playbook, ranking, splitting
+from rankforge.operators import building, playbook, ranking, splitting, vectors
 from rankforge.sources import files
 from rankforge.streaming import playbook as stream
 
@@ -90,3 +91,20 @@ def test_choose_strategy(spark):
     assert pick([("a", 9, 8, 1, 1, 0.01), ("b", 20, 8, 1, 1, 0.01), ("c", 2, 8, 1, 1, 0.0)]) == [("b", "viable", 20)]
     assert pick([("a", 3, 8, 1, 1, 0.1), ("b", 3, 10, 0, 0, 0.0)]) == [("a", "nonempty", 3)]
     assert pick([("b", 1, 10, 0, 0, 0.2)]) == [("b", "any", 1)] and pick([]) == []
+
+
+def test_neighbours_in_blocks(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, x[i].tolist(), i % 3) for i in range(60)]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(sims, -2)
+    expected = {i: sorted(range(60), key=lambda j: (-sims[i, j], j))[:4] for i in range(0, 60, 2)}
+    for block in (7, 30, 4096):
+        got = {}
+        for r in vectors.neighbours(base.where("vec_id % 2 = 0"), base, 4, block_rows=block).orderBy("q_id", "rank").collect():
+            got.setdefault(r["q_id"], []).append(r["id"])
+        assert got == expected
+    assert vectors.neighbours(base.where("vec_id < 0"), base, 4).count() == 0
