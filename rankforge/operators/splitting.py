@@ -29,25 +29,62 @@ def stratified_split(df: DataFrame, sample: str, label: str, seed: str, train: f
     return ranked.select(sample, label, F.when(rank <= t, "train").when(rank <= t + v, "val").otherwise("test").alias("split"))
 
 
-def grouped_split(groups: DataFrame, group: str, size: str, train: float, validation: float, most_groups: int = 100_000) -> DataFrame:
-    """Whole groups to splits, largest first, each to the split that lies furthest below its target.
+def deal(histogram: dict[int, int], train: float, validation: float) -> list[tuple]:
+    """(size, rank from, rank to, splits in turn): the greedy fold over groups by falling size, in runs of equal size.
 
-    Works on one row a group; above ``most_groups`` groups the greedy order would need one long task, and the hash
-    split of the group id is used instead (documented switch; groups stay whole either way).
+    The next group goes to the split furthest below its target. Within a run each pick lowers a deficit by the same size,
+    so picks repeat with period one, two or three; whole stretches are dealt at once, with a margin before each change.
     """
-    from rankforge.functions.text import hash_split
-
-    if groups.count() > most_groups:
-        return groups.select(group, hash_split(F.col(group).cast("string"), train, validation).alias("split"))
-    one = groups.agg(F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("neg"), F.col(group).alias("g")))).alias("gs"), F.sum(size).alias("total"))
-    state = "named_struct('fill', array(0D, 0D, 0D), 'out', cast(array() as array<struct<g:string,split:string>>))"
-    pick = """case when (x.total*{t}-a.fill[0]) >= (x.total*{v}-a.fill[1]) and (x.total*{t}-a.fill[0]) >= (x.total*{s}-a.fill[2]) then 0
-              when (x.total*{v}-a.fill[1]) >= (x.total*{s}-a.fill[2]) then 1 else 2 end""".format(t=train, v=validation, s=round(1 - train - validation, 9))
-    step = f"""named_struct('fill', transform(a.fill, (f, i) -> f + if(i = ({pick}), cast(-x.neg as double), 0D)),
-               'out', concat(a.out, array(named_struct('g', cast(x.g as string), 'split', element_at(array('train','val','test'), ({pick}) + 1)))))"""
-    folded = one.withColumn("xs", F.expr("transform(gs, y -> named_struct('neg', y.neg, 'g', y.g, 'total', total))"))
-    folded = folded.select(F.expr(f"aggregate(xs, {state}, (a, x) -> {step}).out").alias("out"))
-    return folded.select(F.explode("out").alias("o")).select(F.col("o.g").alias(group), F.col("o.split").alias("split"))
+    total = sum(n * c for n, c in histogram.items())
+    targets, fill, runs = [total * train, total * validation, total * round(1 - train - validation, 9)], [0.0] * 3, []
+
+    def picks(n: int, count: int) -> list[int]:
+        d, out = list(fill), []
+        for _ in range(count):
+            a, b, c = (t - x for t, x in zip(targets, d, strict=True))
+            out.append(0 if a >= b and a >= c else 1 if b >= c else 2)
+            d[out[-1]] += n
+        return out
+
+    for n in sorted(histogram, reverse=True):
+        rank, left = 0, histogram[n]
+        while left:
+            d, turn = [t - x for t, x in zip(targets, fill, strict=True)], picks(n, 3)
+            if n:
+                one = int((d[turn[0]] - max(d[i] for i in range(3) if i != turn[0])) // n) - 1
+                two = int((min(d[i] for i in turn[:2]) - min(d[i] for i in range(3) if i not in turn[:2])) // n) - 2 if turn[0] != turn[1] else 0
+                p, times = (1, one) if one > 0 else (2, two) if two > 0 else (3, left // 3) if len(set(turn)) == 3 else (1, 1)
+            else:
+                p, times = 1, left
+            times = min(times, left // p)
+            if not times:
+                p, times = 1, 1
+            for i in turn[:p]:
+                fill[i] += n * times
+            runs.append((n, rank, rank + p * times, turn[:p]))
+            rank, left = rank + p * times, left - p * times
+    return runs
+
+
+def grouped_split(groups: DataFrame, group: str, size: str, train: float, validation: float) -> DataFrame:
+    """Whole groups to splits, largest first (ties by group), each to the split that lies furthest below its target.
+
+    One rule at any number of groups: the driver sees only the histogram of sizes (under sqrt(2 x rows) of them), and a
+    group finds its split by its place in the distributed order.
+    """
+    spark, dtype = groups.sparkSession, dict(groups.dtypes)[group]
+    histogram = {r["n"]: r["c"] for r in groups.groupBy(F.col(size).alias("n")).agg(F.count("*").alias("c")).collect()}
+    runs, by_size, before, at = deal(histogram, train, validation), {}, {}, 0
+    for n, a, b, turn in runs:
+        by_size.setdefault(n, []).append((a, b, [("train", "val", "test")[i] for i in turn]))
+    for n in sorted(histogram, reverse=True):
+        before[n], at = at, at + histogram[n]
+    plan = spark.createDataFrame([(n, before[n], r) for n, r in by_size.items()], "n long, before long, runs array<struct<a: long, b: long, turn: array<string>>>")
+    order = groups.select(F.col(group).alias("g"), F.col(size).cast("long").alias("n")).orderBy(F.col("n").desc(), F.col("g").asc_nulls_last())
+    placed = spark.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), f"g {dtype}, n long, place long")
+    placed = placed.join(F.broadcast(plan), "n").withColumn("rank", F.col("place") - F.col("before"))
+    run = F.filter("runs", lambda r: (r["a"] <= F.col("rank")) & (F.col("rank") < r["b"]))[0]
+    return placed.withColumn("run", run).select(F.col("g").cast("string").alias(group), F.expr("run.turn[cast((rank - run.a) % size(run.turn) as int)]").alias("split"))
 
 
 def leaks(df: DataFrame, group: str, split: str = "split") -> DataFrame:

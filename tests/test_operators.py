@@ -1,5 +1,8 @@
 """Edge rules of the operators on small rows."""
 
+import random
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -108,3 +111,31 @@ def test_neighbours_in_blocks(spark):
             got.setdefault(r["q_id"], []).append(r["id"])
         assert got == expected
     assert vectors.neighbours(base.where("vec_id < 0"), base, 4).count() == 0
+
+
+def greedy(sizes, train, validation):
+    total = sum(sizes.values())
+    targets, fill, out = (total * train, total * validation, total * round(1 - train - validation, 9)), [0, 0, 0], {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        a, b, c = (t - f for t, f in zip(targets, fill, strict=True))
+        at = 0 if a >= b and a >= c else 1 if b >= c else 2
+        fill[at] += sizes[g]
+        out[g] = ("train", "val", "test")[at]
+    return out
+
+
+def test_grouped_split_is_greedy_at_any_number_of_groups(spark):
+    r = random.Random(3)
+    some = [{f"g{i}": r.choice([1, 1, 1, 2, 3, 40, r.randrange(1, 500)]) for i in range(r.randrange(1, 400))} for _ in range(200)]
+    for sizes in some:
+        runs, at = splitting.deal(Counter(sizes.values()), 0.8, 0.1), {}
+        for n, a, b, turn in runs:
+            at.update({(n, k): ("train", "val", "test")[turn[(k - a) % len(turn)]] for k in range(a, b)})
+        rank, got = Counter(), {}
+        for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+            got[g] = at[sizes[g], rank[sizes[g]]]
+            rank[sizes[g]] += 1
+        assert got == greedy(sizes, 0.8, 0.1)
+    sizes = {f"g{i}": 1 + i % 3 for i in range(100_050)} | {"hot": 100_000}
+    df = spark.createDataFrame(list(sizes.items()), "g string, n long")
+    assert {x["g"]: x["split"] for x in splitting.grouped_split(df, "g", "n", 0.8, 0.1).collect()} == greedy(sizes, 0.8, 0.1)
