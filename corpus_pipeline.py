@@ -1,8 +1,8 @@
 """The corpus pipeline: language ID, toxicity, near-duplicates, decontamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before it kept; all but the last return
-the columns of documents. Language ID rejects texts without a language (null, no letters) and those whose best
-language has under 0.4 of the words; toxicity rejects scores of 0.5 or more; near copies are linked at a Jaccard
+the columns of documents. Language ID rejects texts without a language (null, no letters), however mixed the
+others are, and goes by letters alone where no language could be learned; toxicity rejects scores of 0.5 or more; near copies are linked at a Jaccard
 similarity of 0.8 or more of their five-word shingles (op6's SimHash contract is tighter and holds for op6 alone), and
 one row of each component stays, that of the smallest id; documents with a benchmark item go; the rest is packed.
 """
@@ -17,9 +17,11 @@ from rankforge.llm.queries import _tokenizer
 
 
 def identify_language(spark, docs, sf_dir):
-    found = language_id.predictor(docs, language_id.train(docs))(F.col("text"))
-    judged = docs.withColumn("__found", found)
-    return judged.where("__found.lang <> 'und' and __found.score >= 0.4").drop("__found")
+    model = language_id.train(docs)
+    if not model.langs:  # no language could be learned: letters decide
+        return docs.where(F.col("text").rlike("\\p{L}"))
+    found = language_id.predictor(docs, model)(F.col("text"))
+    return docs.withColumn("__found", found).where("__found.lang <> 'und'").drop("__found")
 
 
 def filter_toxicity(spark, docs, sf_dir):

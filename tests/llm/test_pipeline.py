@@ -39,3 +39,15 @@ def test_stages(spark, tmp_path):
     assert kept[2] == sorted(set(kept[1]) - {300, 301})
     assert kept[3] == [i for i in kept[2] if i != 304] and decontaminate.normal(item)
     assert sorted(set(kept[4])) == kept[3]
+
+
+def test_language_stage_keeps_mixed_texts(spark):
+    r = random.Random(0)
+    words = {x: [f"{x}{a}{b}{x}" for a in "aeiou" for b in "klmnp"] for x in ("qu", "zh", "tv", "br")}
+    docs = [(i, " ".join(r.choice(words[x]) for _ in range(40)), x, "s", 0) for i in range(120) for x in [list(words)[i % 4]]]
+    mixed = " ".join(r.choice(words[x]) for x in words for _ in range(4))
+    docs += [(1000, mixed, None, "s", 0), (1001, "12 34", "qu", "s", 0), (1002, None, "qu", "s", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = lambda rows: sorted(x["doc_id"] for x in corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, schema), "").collect())
+    assert kept(docs) == [*range(120), 1000]
+    assert kept([(i, t, None, s, n) for i, t, _, s, n in docs]) == [*range(120), 1000]
