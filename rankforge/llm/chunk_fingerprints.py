@@ -4,7 +4,9 @@ A gear hash over the last 32 bytes marks boundaries; normalised chunking asks fo
 chunk size and fewer after it. A fingerprint is the sorted set of chunk digests with the length that each covers, as
 text; containment is the covered length of one's chunks that the other has. An insertion changes the chunks around it
 alone. Null and empty texts have an empty fingerprint: like each other 1, like others 0. Equal texts have equal
-fingerprints. Very long texts are cut by array operations on blocks.
+fingerprints. Very long texts are cut whole, by array operations. Repeated rows are judged each, in order of their ids
+(nulls first) and their texts' hashes; an empty table gives an empty result; further columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -13,11 +15,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import id_bounds, in_doc_order, range_parts
+from .common import id_ranges
 
 LEAST, USUAL, MOST, STRICT, LOOSE = 16, 48, 192, 7, 4
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) for b in range(256)], np.uint32)
@@ -72,52 +74,53 @@ def containment(a: dict[int, int], b: dict[int, int]) -> float:
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and fingerprint of every row, without a shuffle."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [text_of(chunks((t or "").encode())) for t in b["t"]]})
+            found = [text_of(chunks((t or "").encode())) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    return rows.mapInPandas(work, f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint string")
+    return rows.mapInArrow(work, f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint string")
 
 
-def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", range_bytes: int = 64 << 20) -> DataFrame:
     """Every document beside its edited text (its last quarter replaced by the next document's head) and the next one.
 
-    Rows go once to id ranges; the first row of each range goes to the range before it too (the very first to the
-    last), so each range is streamed in order by itself. Repeated ids are ordered by their texts' hashes.
+    Rows go once to id ranges of about equal bytes; the first row of each range goes to the range before it too (the
+    very first to the last), so each range is streamed in order by itself.
     """
-    parts = range_parts(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).withColumn("tie", F.xxhash64("t"))
-    ranged = in_doc_order(rows, "doc_id", parts, id_bounds(rows, "doc_id", parts))
+    parts, ranged = id_ranges(rows, range_bytes)
     key = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "tie").alias("key")
     firsts = sorted((r["pid"], r["key"]) for r in ranged.select("pid", key).groupBy("pid").agg(F.min("key").alias("key")).collect())  # a row a range
     ahead = [(pid, first["doc_id"], first["tie"], firsts[k - 1][0]) for k, (pid, first) in enumerate(firsts)]
-    heads = docs.sparkSession.createDataFrame(ahead, "h_pid int, h_id long, h_tie long, target int")  # at most 2048 rows
+    heads = docs.sparkSession.createDataFrame(ahead, "h_pid int, h_id long, h_tie long, target int")  # 24 bytes a range
     is_head = (F.col("pid") == F.col("h_pid")) & F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie"))
     ranged = ranged.join(F.broadcast(heads), is_head, "left")
     here, there = (F.struct(F.col(c).alias("to"), F.lit(n).alias("ahead")) for c, n in (("pid", 0), ("target", 1)))
     to = F.when(F.col("target").isNull(), F.array(here)).otherwise(F.array(here, there))
     dealt = ranged.withColumn("w", F.explode(to)).select("doc_id", "t", "tie", F.col("w.to").alias("pid"), F.col("w.ahead").alias("ahead"))
-    dealt = dealt.repartition(parts, "pid").sortWithinPartitions("pid", "ahead", F.col("doc_id").asc_nulls_first(), "tie")
+    dealt = dealt.repartitionById(parts, "pid").sortWithinPartitions("ahead", F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "t", "ahead")
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(d, t, found, after, after_found):
             n = len(t)
             edited = t[: n - n // 4] + after[: n // 4]
             changed = found if edited == t else chunks(edited.encode())
             return (d, n, hashlib.sha256(edited.encode()).hexdigest(), text_of(found), text_of(changed), containment(found, changed), containment(found, after_found))
 
-        names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         held = None
         for b in batches:
             out = []
-            for pid, ahead, d, t in zip(b["pid"], b["ahead"], b["doc_id"].astype(object), b["t"], strict=True):
+            for ahead, d, t in zip(*(b.column(c).to_pylist() for c in ("ahead", "doc_id", "t")), strict=True):
                 t = t or ""
                 found = chunks(t.encode())
-                if held is not None and held[0] == pid and not held[4]:
-                    out.append(row(*held[1:4], t, found))
-                held = (pid, None if d != d else d, t, found, ahead)
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"doc_id": "Int64"})
+                if held is not None and not held[3]:
+                    out.append(row(*held[:3], t, found))
+                held = (d, t, found, ahead)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return dealt.mapInPandas(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(work, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

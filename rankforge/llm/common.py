@@ -6,16 +6,20 @@ import tempfile
 import uuid
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 _own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where that is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; where that is unset one of our own, on a single machine only."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-rankforge-")
     return _own["dir"]
@@ -26,13 +30,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage with a Parquet table in the shared folder; recovery rereads it."""
+    """Cuts the lineage with a Parquet table in the shared folder; recovery rereads it.
+
+    The table outlives the returned frame, as with checkpoint(): whoever owns the folder clears it.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def crc_mod(doc_id, n: int):
+def drop_table(df: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n, as a column."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
@@ -45,34 +60,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sampled_ids(df: DataFrame, id_col: str, label_col: str, per_label: int) -> DataFrame:
-    """At most ``per_label`` ids of each label value, those of the smallest hash: a bounded training sample."""
-    from pyspark.sql import Window as W
-
-    order = [F.xxhash64(F.col(id_col)), F.col(id_col)]
-    rows = df.select(id_col, label_col).withColumn("__b", F.pmod(F.xxhash64(F.col(id_col)), F.lit(256)))
-    for by in ([label_col, "__b"], [label_col]):  # a hot label is thinned out by bucket first
-        rows = rows.withColumn("rn", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rn") <= per_label).drop("rn")
-    return rows.drop("__b")
-
-
-def in_doc_order(df: DataFrame, order: str, parts: int, bounds: list[int]) -> DataFrame:
-    """Adds ``pid``, the number of the id range that a row belongs to (null ids first)."""
-    pid = F.lit(0)
-    if bounds:
-        low = F.array(*[F.lit(b).cast("long") for b in bounds])
-        pid = F.when(F.col(order).isNull(), 0).otherwise(F.size(F.filter(low, lambda b: b <= F.col(order))))
-    return df.withColumn("pid", pid.cast("int"))
-
-
-def id_bounds(df: DataFrame, order: str, parts: int) -> list[int]:
-    """At most ``parts - 1`` id values that cut the ids into ranges of about equal row counts; reads the id column alone."""
-    if parts < 2:
-        return []
-    q = df.select(F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first()["q"]
-    return sorted(set(int(x) for x in q)) if q else []
-
-
-def range_parts(df: DataFrame) -> int:
-    """As many id ranges as shuffle partitions, at most 2048."""
-    return min(2048, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def smallest_hashes(rows: DataFrame, label: str, order: list[Column], most: int) -> DataFrame:
+    """At most ``most`` rows of each label value, those first by ``order``: a bounded training sample.
+
+    The first column of ``order`` must be a hash spread evenly over all longs, and rows must be distinct by it. A
+    label's rows are counted first (a row a label), and only those under a hash threshold, of which 2 * most + 64 are
+    expected, meet in the final ranking; fewer than ``most`` of a larger label pass it with a chance under 1e-9.
+    """
+    held = rows.withColumn("__h", order[0].cast("double") / 2.0**64 + 0.5)
+    counted = held.groupBy(label).agg(F.count("*").alias("__n"))  # a row a label
+    held = held.join(F.broadcast(counted), held[label].eqNullSafe(counted[label])).drop(counted[label])
+    near = held.where(F.col("__h") <= (2 * most + 64) / F.col("__n"))
+    rank = F.row_number().over(W.partitionBy(label).orderBy(*order))
+    return near.withColumn("__rank", rank).where(F.col("__rank") <= most).drop("__rank", "__n", "__h")
+
+
+def id_ranges(rows: DataFrame, range_bytes: int = 64 << 20, most_sampled: int = 1_000_000) -> tuple[int, DataFrame]:
+    """Adds ``pid``, the number of a range of (doc_id, tie) of about ``range_bytes`` of text; null ids come first.
+
+    ``rows`` holds doc_id (long), t (text) and tie (a hash of the text, so that a hot id is cut too). Bounds are
+    quantiles by bytes of a hash sample of a hundredth of the rows (2,000 to ``most_sampled``), as Spark's own range
+    partitioner takes; they decide how even the ranges are, never the result.
+    """
+    spark = rows.sparkSession
+    n = rows.count()
+    every = max(1, n // min(most_sampled, max(2_000, n // 100)))
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit(3)), F.lit(every)) == 0)
+    picked = picked.select(F.col("doc_id").isNotNull().alias("some"), F.coalesce("doc_id", F.lit(0)).alias("d"), "tie", F.coalesce(F.octet_length("t"), F.lit(0)).alias("n"))
+    sample = sorted((r["some"], r["d"], r["tie"], r["n"]) for r in picked.collect())
+    total = sum(r[3] + 8 for r in sample)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total * every // range_bytes))
+    ends = np.cumsum([r[3] + 8 for r in sample])
+    cuts = np.searchsorted(ends, total * np.arange(1, parts) / parts) if sample else []
+    bounds = sorted({sample[i][:3] for i in cuts})
+    nulls = np.array([b[2] for b in bounds if not b[0]], np.int64)
+    ids = np.array([b[1] for b in bounds if b[0]], np.int64)
+    ties = np.array([b[2] for b in bounds if b[0]], np.int64)
+    shared = spark.sparkContext.broadcast((nulls, ids, ties))  # 16 bytes a range
+
+    def number(some: pd.Series, d: pd.Series, tie: pd.Series) -> pd.Series:
+        nulls, ids, ties = shared.value
+        some, d, tie = some.to_numpy(bool), d.to_numpy(np.int64), tie.to_numpy(np.int64)
+        low, high = np.searchsorted(ids, d, "left"), np.searchsorted(ids, d, "right")
+        out = high + len(nulls)
+        for a in np.unique(low[(low < high) & some]):  # ids that a bound names: their ties decide
+            at = np.flatnonzero(some & (low == a) & (low < high))
+            out[at] = len(nulls) + a + np.searchsorted(ties[a : high[at[0]]], tie[at], "right")
+        out[~some] = np.searchsorted(nulls, tie[~some], "right")
+        return pd.Series(out.astype(np.int32))
+
+    pid = F.pandas_udf(number, "int")(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0).cast("long")), F.col("tie"))
+    return len(bounds) + 1, rows.withColumn("pid", pid)

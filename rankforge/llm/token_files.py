@@ -6,9 +6,11 @@ count and start in the payload. A block's payload: the values minus the minimum,
 chosen percentile of them, then positions (uint16) and values (uint32) of the exceptions. Any block is found by its
 start and decoded alone.
 
-Ids are written in ascending doc_id order (nulls first): rows go to id ranges, each range is sorted and streamed into
-shards of about ``shard_ids`` ids by rename, so a repeated task writes the same names again. Null and empty texts hold
-the end id alone; repeated rows are written each; an empty table gives an empty result.
+Ids are written in ascending doc_id order (nulls first, repeated ids by the hashes of their texts): rows go to id
+ranges of about equal bytes, each range is sorted and streamed into shards of about ``shard_ids`` ids by rename, so a
+repeated task writes the same names again. Null and empty texts hold the end id alone; repeated rows are written each;
+a very long text makes a shard as long as itself; an empty table gives an empty result; further columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,59 +21,68 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import tokens
-from .common import id_bounds, in_doc_order, materialize, new_path, range_parts
+from .common import id_ranges, materialize, new_path
 
 MAGIC, HEAD, BLOCK = b"RFPFOR01", struct.Struct("<8sqqqq"), 512
 
 
 def _pack(v: np.ndarray, width: int) -> np.ndarray:
-    """(m, 512) values under 2**width as (m, 8 * width) 64-bit words."""
-    m, out = len(v), np.zeros((len(v), BLOCK * width // 64 + 1), "<u8")
-    low = np.uint64((1 << width) - 1)
-    for i in range(BLOCK if width else 0):
+    """(m, 512) values under 2**width as (m, 8 * width) 64-bit words; a lane of all blocks is one contiguous row."""
+    m, lanes, out = len(v), np.ascontiguousarray(v.T, np.uint64), np.zeros((BLOCK * width // 64 + 1, len(v)), np.uint64)
+    for i in range(BLOCK if width and m else 0):
         word, shift = divmod(i * width, 64)
-        x = v[:, i] & low
-        out[:, word] |= x << np.uint64(shift)
+        out[word] |= lanes[i] << np.uint64(shift)
         if shift + width > 64:
-            out[:, word + 1] |= x >> np.uint64(64 - shift)
-    return out[:, : m and BLOCK * width // 64]
+            out[word + 1] |= lanes[i] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out[: BLOCK * width // 64].T, "<u8")
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
-    out, low = np.zeros((len(words), BLOCK), np.uint64), np.uint64((1 << width) - 1)
-    for i in range(BLOCK if width else 0):
+    m, lanes, low = len(words), np.ascontiguousarray(words.T), np.uint64((1 << width) - 1)
+    out = np.zeros((BLOCK, m), np.uint64)
+    for i in range(BLOCK if width and m else 0):
         word, shift = divmod(i * width, 64)
-        x = words[:, word] >> np.uint64(shift)
+        x = lanes[word] >> np.uint64(shift)
         if shift + width > 64:
-            x = x | words[:, word + 1] << np.uint64(64 - shift)
-        out[:, i] = x & low
-    return out
+            x |= lanes[word + 1] << np.uint64(64 - shift)
+        np.bitwise_and(x, low, out=out[i])
+    return np.ascontiguousarray(out.T)
+
+
+def _places(starts: np.ndarray, size: int) -> np.ndarray:
+    """The byte positions of runs of one size."""
+    return starts[:, None] + np.arange(size)
 
 
 def encode_shard(pid: int, number: int, doc_ids: list, counts: list[int], ids: np.ndarray, percentile: float = 90) -> bytes:
     n = -(-len(ids) // BLOCK)
-    v = np.concatenate([ids, np.repeat(ids[-1:], n * BLOCK - len(ids))]).astype(np.uint64).reshape(n, BLOCK)
-    low = v.min(1) if n else np.zeros(0, np.uint64)
-    v -= low[:, None]
+    v = np.concatenate([ids, np.repeat(ids[-1:], n * BLOCK - len(ids))]).astype("<u4", copy=False).reshape(n, BLOCK)
+    low = v.min(1) if n else np.zeros(0, "<u4")
+    v = v - low[:, None]
     at = np.partition(v, k := int(BLOCK * percentile / 100) - 1, axis=1)[:, k] if n else low
     width = np.ceil(np.log2(at.astype(float) + 1)).astype(np.uint8)
-    over = v >> width.astype(np.uint64)[:, None] > 0
+    over = v.astype(np.uint64) >> width.astype(np.uint64)[:, None] > 0
     exceptions = over.sum(1)
     sizes = 64 * width.astype(np.int64) + 6 * exceptions
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if n else np.zeros(0, np.int64)
-    payload = bytearray(int(sizes.sum()))
-    for w in np.unique(width):
+    payload = np.zeros(int(sizes.sum()), np.uint8)
+    for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        for r, words in zip(rows, _pack(v[rows], int(w)), strict=True):
-            where = np.flatnonzero(over[r])
-            payload[starts[r] : starts[r] + sizes[r]] = words.tobytes() + where.astype("<u2").tobytes() + v[r, where].astype("<u4").tobytes()
+        low_bits = v[rows] & np.uint32((1 << int(w)) - 1)
+        payload[_places(starts[rows], 64 * int(w))] = _pack(low_bits, int(w)).view(np.uint8)
+    row, where = np.nonzero(over)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+    tail = (starts + 64 * width.astype(np.int64))[row]
+    payload[_places(tail + 2 * nth, 2)] = where.astype("<u2").view(np.uint8).reshape(-1, 2)
+    payload[_places(tail + 2 * exceptions[row] + 4 * nth, 4)] = v[row, where].astype("<u4").view(np.uint8).reshape(-1, 4)
     null = np.array([d is None for d in doc_ids], np.uint8)
     arrays = (np.array([d or 0 for d in doc_ids], "<i8"), null, np.array(counts, "<u4"), low.astype("<u4"), width, exceptions.astype("<u2"), starts.astype("<u8"))
-    return HEAD.pack(MAGIC, pid, number, len(doc_ids), len(ids)) + b"".join(a.tobytes() for a in arrays) + bytes(payload)
+    return HEAD.pack(MAGIC, pid, number, len(doc_ids), len(ids)) + b"".join(a.tobytes() for a in arrays) + payload.tobytes()
 
 
 class Shard:
@@ -93,75 +104,81 @@ class Shard:
             return np.zeros(0, "<u4")
         first, last = a // BLOCK, -(-b // BLOCK)
         out = np.zeros((last - first, BLOCK), np.uint64)
-        width = self.width[first:last]
-        for w in np.unique(width):
+        width, exceptions = self.width[first:last].astype(np.int64), self.exceptions[first:last].astype(np.int64)
+        starts, data = self.payload + self.starts[first:last].astype(np.int64), np.frombuffer(self.data, np.uint8)
+        for w in np.unique(width[width > 0]):
             rows = np.flatnonzero(width == w)
-            words = np.stack([np.frombuffer(self.data, "<u8", 8 * int(w), self.payload + int(self.starts[first + r])) for r in rows])
-            out[rows] = _unpack(words, int(w))
-        for r in np.flatnonzero(self.exceptions[first:last]):
-            k, at = int(self.exceptions[first + r]), self.payload + int(self.starts[first + r]) + 64 * int(width[r])
-            out[r, np.frombuffer(self.data, "<u2", k, at)] = np.frombuffer(self.data, "<u4", k, at + 2 * k)
+            out[rows] = _unpack(data[_places(starts[rows], 64 * int(w))].view("<u8"), int(w))
+        row = np.repeat(np.arange(last - first), exceptions)
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(exceptions) - exceptions, exceptions)
+        tail = (starts + 64 * width)[row]
+        where = data[_places(tail + 2 * nth, 2)].view("<u2")[:, 0]
+        out[row, where] = data[_places(tail + 2 * exceptions[row] + 4 * nth, 4)].view("<u4")[:, 0]
         out += self.low[first:last, None]
         return out.reshape(-1)[a - first * BLOCK : b - first * BLOCK].astype("<u4")
 
 
-def write(docs: DataFrame, folder: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = 1_000_000) -> DataFrame:
-    """Writes the shards into a shared folder and returns their manifest: pid, number, n_ids."""
-    parts = range_parts(docs)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    rows = in_doc_order(rows, "doc_id", parts, id_bounds(rows, "doc_id", parts))
-    rows = rows.repartition(parts, "pid").sortWithinPartitions("pid", F.col("doc_id").asc_nulls_first(), F.xxhash64("t"))
+def write(docs: DataFrame, folder: str, path: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, shard_ids: int = 1_000_000, range_bytes: int = 64 << 20) -> DataFrame:
+    """Writes the shards into a shared folder and returns their manifest: pid, number, n_ids.
+
+    Texts, not ids, are shuffled: compressed text takes less room than the ids of short tokens would.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t")).withColumn("tie", F.xxhash64("t"))
+    parts, rows = id_ranges(rows, range_bytes)
+    rows = rows.repartitionById(parts, "pid").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "t")
 
-    def save(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         c, end = tokens.codec(path, "bytes"), end_id.to_bytes(4, "little")
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        now, number, ids, held, size = None, 0, [], [], 0
+        pid, number, ids, held, counts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush():
-            if held:
-                name = f"{base}/range-{now:06d}-{number:06d}.pfor"
-                data = encode_shard(now, number, held, [len(x) // 4 for x in ids], np.frombuffer(b"".join(ids), "<u4"))
-                with store.open_output_stream(part := f"{base}/_{uuid.uuid4().hex}") as f:
-                    f.write(data)
-                store.move(part, name)
-                return pd.DataFrame({"pid": [now], "number": [number], "n_ids": [size]})
+            name = f"{base}/range-{pid:06d}-{number:06d}.pfor"
+            data = encode_shard(pid, number, held, counts, np.frombuffer(b"".join(ids), "<u4"))
+            with store.open_output_stream(part := f"{base}/_{uuid.uuid4().hex}") as f:
+                f.write(data)
+            store.move(part, name)
+            return pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([size], pa.int64())})
 
         for b in batches:
-            for pid, d, t in zip(b["pid"], b["doc_id"].astype(object), b["t"], strict=True):
-                if pid != now or size >= shard_ids:
-                    if (x := flush()) is not None:
-                        yield x
-                    now, number, ids, held, size = pid, number + 1 if pid == now else 0, [], [], 0
+            for d, t in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), strict=True):
+                if size >= shard_ids:
+                    yield flush()
+                    number, ids, held, counts, size = number + 1, [], [], [], 0
                 x = c.text(t) + end
                 ids.append(x)
-                held.append(None if d is None or d != d else int(d))
+                held.append(d)
+                counts.append(len(x) // 4)
                 size += len(x) // 4
-        if (x := flush()) is not None:
-            yield x
+        if held:
+            yield flush()
 
-    return materialize(rows.mapInPandas(save, "pid int, number int, n_ids long"), "manifest")
+    return materialize(rows.mapInArrow(save, "pid int, number int, n_ids long"), "manifest")
 
 
 def read(spark, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the shards; starts are the ids before a shard plus those within."""
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b["content"]:
-                s = Shard(data)
-                ids, ends = s.ids().tobytes(), np.cumsum(s.counts, dtype=np.int64)
+            for data in b.column("content"):
+                s = Shard(data.as_buffer())
+                ids, ends = memoryview(s.ids()).cast("B"), np.cumsum(s.counts, dtype=np.int64)
                 starts = ends - s.counts
-                yield pd.DataFrame({"doc_id": pd.array(s.doc_ids, "Int64"), "pid": s.pid, "number": s.number, "at": starts, "n_tokens": s.counts.astype(np.int64), "ids_crc32": [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(starts, ends, strict=True)]})
+                crc = [zlib.crc32(ids[4 * x : 4 * y]) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
+                n = len(s.doc_ids)
+                columns = [pa.array(s.doc_ids, pa.int64()), np.full(n, s.pid, np.int32), np.full(n, s.number, np.int32), starts, s.counts.astype(np.int64), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["doc_id", "pid", "number", "at", "n_tokens", "ids_crc32"])
 
-    by_range = manifest.groupBy("pid").agg(F.sum("n_ids").alias("n"))  # at most 2048 rows
+    by_range = manifest.groupBy("pid").agg(F.sum("n_ids").alias("n"))  # a row a range
     by_range = by_range.select("pid", F.coalesce(F.sum("n").over(W.orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ranges"))
     within = W.partitionBy("pid").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
     base = manifest.select("pid", "number", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("shards")).join(by_range, "pid")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "range-*.pfor").schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("content")
-    got = files.mapInPandas(load, "doc_id long, pid int, number int, at long, n_tokens long, ids_crc32 long")
+    got = files.mapInArrow(load, "doc_id long, pid int, number int, at long, n_tokens long, ids_crc32 long")
     return got.join(base, ["pid", "number"]).select("doc_id", (F.col("at") + F.col("ranges") + F.col("shards")).alias("start"), "n_tokens", "ids_crc32")
 
 
