@@ -1,11 +1,12 @@
 """Near copies by the general rule: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 
-Equal sets meet by their digest. Distinct sets are candidates if one of ``BANDS`` bands of ``ROWS`` minimum hashes
-agrees: a pair of similarity 0.8 meets in none with probability (1 - 0.8 ** 4) ** 20 = 0.00003. Candidates are linked by
-their exact similarity only, so no text goes for a chance agreement. All pairs of a band's group are judged, but for
-those already in one component; bands of the same members are judged once, and large groups are dealt out as pairs of
-chunks. SimHash (op6) cannot take this part: at similarity 0.8 the fingerprints lie up to 13 of 64 bits apart, and
-pigeonhole keys at that radius have four bits.
+At that similarity SimHash fingerprints lie up to some 20 of 64 bits apart, and pigeonhole keys for such a radius have
+two or three bits. So candidates meet by minimum hashes in their place: two sets of similarity 0.8 agree in none of
+``BANDS`` bands of ``ROWS`` with probability (1 - 0.8 ** 4) ** 20 = 0.00003. Within a band's group the bit-sliced
+SimHash comparison (op6's, at ``RADIUS``) joins what may be near; a pair of 0.8 lies beyond that radius with a chance of
+about 0.000002. Each loose component so found is then judged by exact similarity, all pairs, so no text goes for a
+chance agreement; every set travels once, to its loose component. Loose components over the limits are dealt out as
+pairs of chunks; no pair is dropped.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
-from .simhash import components
+from .common import drop_table, materialize
+from .simhash import bits_of, components, group_links
 
-BANDS, ROWS = 20, 4
+BANDS, ROWS, RADIUS = 20, 4, 26
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -65,73 +67,97 @@ def forest(sets: list[np.ndarray], least: float) -> np.ndarray:
     return label
 
 
-def links(held: DataFrame, sets: DataFrame, text: str, least: float, group_rows: int, group_shingles: int) -> DataFrame:
-    """(a, b) of nodes whose components are those of all candidate pairs with a similarity of ``least`` or more."""
-    spark = held.sparkSession
-    keyed = sets.select("node", "size", F.explode("bands").alias("key"))
-    groups = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"))
-    groups = groups.where("n > 1").groupBy("n", "total", "x", "y").agg(F.min("key").alias("key"))
-    chunks = F.greatest(F.ceil(F.when(F.col("n") > group_rows, 2 * F.col("n") / group_rows).otherwise(1)), F.ceil(F.when(F.col("total") > group_shingles, 2 * F.col("total") / group_shingles).otherwise(1)))
-    met = materialize(keyed.select("node", "key").join(groups.select("key", chunks.cast("int").alias("chunks")), "key"), "met")
+def exact_links(texts: DataFrame, members: DataFrame, least: float, group_rows: int, group_shingles: int) -> DataFrame:
+    """(a, b) of nodes: a spanning forest of the pairs in each loose component with a similarity of ``least`` or more.
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ``texts`` holds file, at (where a row is) and t; ``members`` node, root, size and the row of each set.
+    """
+    spark = texts.sparkSession
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    share = F.greatest(F.col("n") / group_rows, F.col("total") / group_shingles)
+    big = materialize(sizes.where(share > 1).select("root", F.ceil(2 * share).cast("int").alias("chunks")), "big")
+    n_big, none = big.count(), F.lit(0).cast("int")
+    placed = members.select("node", "root", "file", "at")
+    if n_big:
+        placed = placed.join(F.broadcast(big) if n_big <= 100_000 else big, "root", "left")
+    else:
+        placed = placed.withColumn("chunks", F.lit(None).cast("int"))
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "h": [shingle_set(t).tobytes() for t in b["t"]]})
-
-    texts = held.select(F.col("__row").alias("node"), F.col(text).alias("t")).join(met.select("node").distinct(), "node", "left_semi")
-    found = materialize(texts.mapInPandas(hashes, "node long, h binary"), "candidate-sets")
-    own = F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int")
-    dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("node", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    by = ["key", "i", "j"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), met.count() // 20_000)
-    dealt = dealt.join(found, "node").repartition(parts, *by).sortWithinPartitions(*by, "node")
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            h = [shingle_set(t).astype(np.uint32) for t in b.column("t").to_pylist()]  # 32 bits tell the shingles of two texts apart
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "root", "chunks")), pa.array([np.unique(x).tobytes() for x in h], pa.binary())], ["node", "root", "chunks", "h"])
+
+    sets = texts.join(placed, ["file", "at"]).select("node", "root", "chunks", "t").mapInArrow(hashes, "node long, root long, chunks int, h binary")
+    own = F.coalesce(F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int"), none)
+    other = F.explode(F.when(F.col("chunks").isNull(), F.array(none)).otherwise(F.sequence(none, F.col("chunks") - 1)))
+    dealt = sets.withColumn("own", own).withColumn("other", other)
+    dealt = dealt.select("node", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "h")
+    by = ["root", "i", "j"]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // 20_000)
+    dealt = dealt.repartition(parts, *by).sortWithinPartitions(*by, "node")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, nodes, sets = None, [], []
 
         def done():
             x, label = np.array(nodes, np.int64), forest(sets, least)
             i = np.flatnonzero(label != np.arange(len(x)))
-            return pd.DataFrame({"a": x[i], "b": x[label[i]]})
+            return pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(x[label[i]])], ["a", "b"])
 
         for b in batches:
-            for node, key, i, j, h in b.itertuples(index=False):
-                if (key, i, j) != at:
+            for node, *group, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != at:
                     if len(nodes) > 1:
                         yield done()
-                    at, nodes, sets = (key, i, j), [], []
+                    at, nodes, sets = group, [], []
                 nodes.append(node)
-                sets.append(np.frombuffer(h, np.uint64))
+                sets.append(np.frombuffer(h, np.uint32))
         if len(nodes) > 1:
             yield done()
 
-    return dealt.select("node", *by, "h").mapInPandas(work, "a long, b long").distinct()
+    return dealt.mapInArrow(work, "a long, b long").distinct()
+
+
+def in_files(docs: DataFrame) -> DataFrame:
+    """The frame itself if it is a plain scan of files, whose rows have a place; else a table written from it."""
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return docs if plain and "_metadata" not in docs.columns else materialize(docs, "rows")
 
 
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, group_rows: int = 4000, group_shingles: int = 4_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, group_rows: int = 20_000, group_shingles: int = 8_000_000) -> DataFrame:
     """One row of each component of near copies: that of the smallest id, rows without an id last.
 
-    Rows are told apart by a number made in a materialized copy of the table, never by their id: rows without ids and
-    different texts under one id are judged like any others.
+    Rows are told apart by their file and place in it, never by their id: rows without ids and different texts under
+    one id are judged like any others, and of repeated rows one stays. Null texts and those of white space alone are
+    equal; texts under five words are near copies only if equal; very long texts are judged whole; an empty table gives
+    an empty result; all columns are kept, whatever their names.
     """
-    held = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["t"]:
-                h = shingle_set(t)
-                rows.append((xxhash.xxh128_digest(h.tobytes()), len(h), band_keys(h)))
-            yield pd.DataFrame(rows, columns=["digest", "size", "bands"]).assign(row=b["row"].to_numpy())[["row", "digest", "size", "bands"]]
-
-    read = held.select(F.col("__row").alias("row"), F.col(text).alias("t"))
-    every = materialize(read.mapInPandas(judge, "row long, digest binary, size int, bands array<long>"), "shingle-sets")
-    order = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col("__row").alias("row"))
-    ranked = every.join(held.select(F.col("__row").alias("row"), order.alias("first")), "row")
-    sets = ranked.groupBy("digest").agg(F.min("first").alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
-    sets = materialize(sets.select(F.col("first.row").alias("node"), "first", "size", "bands"), "distinct-sets")
-    found = components(links(held, sets, text, least, group_rows, group_shingles))
+    held = in_files(docs)
+    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")]
+    texts = held.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
+    texts = texts.select("id", "t", F.xxhash64("path").alias("file"), "at")
+
+    def judge(found: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in found:
+            h = shingle_set(t)
+            rows.append((xxhash.xxh128_digest(h.tobytes()), len(h), bits_of(h), band_keys(h)))
+        return pd.DataFrame(rows, columns=["digest", "size", "fp", "bands"])
+
+    signed = texts.select("id", "file", "at", F.pandas_udf(judge, "digest binary, size int, fp long, bands array<long>")("t").alias("s"))
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "file", "at").alias("first")
+    sets = signed.select(first, "s.*").groupBy("digest").agg(F.min("first").alias("first"), *(F.first(c).alias(c) for c in ("size", "fp", "bands")))
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("node"), "first", "size", "fp", "bands"), "distinct-sets")
+    keyed = sets.select("node", "fp", F.explode("bands").alias("key"))
+    loose = components(group_links(keyed, ["key"], RADIUS, group_rows, sets.count()))
+    loose = loose.unionByName(loose.select(F.col("root").alias("node"), "root")).distinct()
+    members = sets.select("node", "size", F.col("first.file").alias("file"), F.col("first.at").alias("at")).join(loose, "node")
+    members = materialize(members, "members")
+    found = components(exact_links(texts.select("file", "at", "t"), members, least, group_rows, group_shingles))
     rooted = sets.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("__row"))
-    return held.join(kept, "__row", "left_semi").select(*docs.columns)
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.file").alias("__file"), F.col("first.at").alias("__at"))
+    kept = materialize(kept, "kept")
+    for done in (sets, members):
+        drop_table(done)
+    return held.select("*", *place).join(kept, ["__file", "__at"], "left_semi").select(*docs.columns)
