@@ -1,12 +1,16 @@
 """Language ID by a linear-chain conditional random field over words.
 
 A word's features are its affixes, character n-grams, itself, and the languages whose lexicon of frequent words holds
-it; transitions between neighbouring labels are learned with them. Forward-backward gives each word's label
-probabilities, so code-switched texts are labelled part by part; a text's language is the one with the largest sum,
-and its score that sum's share. Chains are at most ``CHAIN`` words; longer texts are several chains, all of them read.
-Training takes at most ``per_lang`` rows of each language (smallest id hash) and whole texts of up to ``max_chars``.
-Null texts and those without a letter are ``und`` with score 0; repeated rows are judged each; without any labelled
-row all are ``und``.
+it; transitions between neighbouring labels are learned with them. A third of the training chains are spliced from
+spans of several languages, so that transitions see switches. Forward-backward gives each word's label probabilities, so
+code-switched texts are labelled part by part (``spans``); a text's language is the one with the largest sum, and its
+score that sum's share. Chains are at most ``CHAIN`` words; longer texts are several chains, all of them read.
+
+Training takes at most ``per_lang`` rows of each language (smallest hash of id and text). Null texts, those of over
+``max_chars`` characters and repeats of an id's text are left out before the sample is drawn; an id with several
+languages is a row each. Null texts and those without a letter are ``und`` with score 0; repeated rows and those
+without an id are judged each; very long texts are read whole; an empty table gives an empty result; further columns
+are not read, whatever their names; without any labelled row all are ``und``.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, sampled_ids
+from .common import crc_mod, smallest_hashes
 
 VOCABULARY, CHAIN, CACHE, LONG = 1 << 17, 256, 400_000, 40
 JUNK = regex.compile(r"\P{L}+")
@@ -158,6 +162,25 @@ class Model:
             at += len(h)
         return self._judge(out, table)
 
+    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
+        """(first token, end token, language) of the parts of a text; tokens without a letter go with those before them."""
+        tokens = split(text)
+        if not self.langs or not tokens:
+            return []
+        found = list(map(self.known.get, tokens))
+        beyond = self.learn(tokens, found) if None in found else None
+        table = self.table if beyond is None else np.concatenate([self.table, beyond])
+        flat = np.array(found, np.int64)
+        words = np.flatnonzero(flat >= 0)
+        best = np.concatenate([marginals(table[flat[c]][:, None, :], self.trans, self.start, np.ones((len(c), 1), bool))[:, 0].argmax(1) for c in (words[i : i + CHAIN] for i in range(0, len(words), CHAIN))] or [words])
+        out: list[tuple[int, int, str]] = []
+        for w, y in zip(words.tolist(), best.tolist(), strict=True):
+            if out and out[-1][2] == self.langs[y]:
+                out[-1] = (out[-1][0], w + 1, out[-1][2])
+            else:
+                out.append((out[-1][1] if out else 0, w + 1, self.langs[y]))
+        return [*out[:-1], (out[-1][0], len(tokens), out[-1][2])] if out else []
+
     def _judge(self, rows: list[np.ndarray], table: np.ndarray) -> list[tuple[str, float]]:
         if not rows:
             return []
@@ -179,7 +202,21 @@ class Model:
         return [(self.langs[b], float(min(1.0, sums[i, b] / lengths[i]))) if lengths[i] else ("und", 0.0) for i, b in enumerate(best)]
 
 
-def fit(texts: list[str], labels: list[str], steps: int = 40, part: int = 32, lexicon_size: int = 200) -> Model:
+def spliced(seqs: list[np.ndarray], ys: list[np.ndarray], part: int, rng: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Half as many chains as given, each of spans of 2 to 12 words of chains of any language, with the words' labels."""
+    out = []
+    for _ in range(-(-len(seqs) // 2)):
+        x, y = [], []
+        while sum(map(len, x)) < part and len(x) < part:
+            j, n = int(rng.integers(len(seqs))), int(rng.integers(2, 13))
+            at = int(rng.integers(max(1, len(seqs[j]) - n + 1)))
+            x.append(seqs[j][at : at + n])
+            y.append(ys[j][at : at + n])
+        out.append((np.concatenate(x)[:part], np.concatenate(y)[:part]))
+    return out
+
+
+def fit(texts: list[str], labels: list[str], steps: int = 40, part: int = 32, lexicon_size: int = 200, seed: int = 0) -> Model:
     """Maximum likelihood by Adam, all chains at once; a text's words bear its label."""
     langs = sorted(set(labels))
     k = len(langs)
@@ -198,13 +235,17 @@ def fit(texts: list[str], labels: list[str], steps: int = 40, part: int = 32, le
     for words, y in docs:
         x = np.array([ids.setdefault(w, len(ids)) for w in words], np.int64)
         seqs += [x[i : i + part] for i in range(0, len(x), part)]
-        ys += [y] * (len(seqs) - len(ys))
+        ys += [np.full(len(c), y) for c in seqs[len(ys) :]]
+    if not seqs:
+        return fit([], [])
+    mixed = spliced(seqs, ys, part, np.random.default_rng(seed)) if k > 1 else []
+    seqs, ys = [*seqs, *(c for c, _ in mixed)], [*ys, *(c for _, c in mixed)]
     n = len(seqs)
     size = np.array(list(map(len, seqs)))
-    x = np.zeros((n, part), np.int64)
-    for i, s in enumerate(seqs):
-        x[i, : len(s)] = s
-    x, y, mask = x.T, np.array(ys), (np.arange(part)[:, None] < size)
+    x, y = np.zeros((n, part), np.int64), np.zeros((n, part), np.int64)
+    for i, (s, labels_of) in enumerate(zip(seqs, ys, strict=True)):
+        x[i, : len(s)], y[i, : len(s)] = s, labels_of
+    x, y, mask = x.T, y.T, (np.arange(part)[:, None] < size)
     named = [features(w, lexicon) for w in ids]
     often = Counter(f for x in named for f in x)
     names = [f for f, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
@@ -214,8 +255,8 @@ def fit(texts: list[str], labels: list[str], steps: int = 40, part: int = 32, le
     flat, at, of_word = np.concatenate([np.array(f) for f in feats]), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(ids)), sizes)
     W, T, S = np.zeros((len(names), k)), np.eye(k) * 2.0, np.zeros(k)
     gold_words = np.bincount((x * k + y)[mask], minlength=len(ids) * k).reshape(-1, k)
-    gold_trans = np.diag(np.bincount(y, size - 1, k))
-    gold_start = np.bincount(y, minlength=k)
+    gold_trans = np.bincount((y[:-1] * k + y[1:])[mask[1:]], minlength=k * k).reshape(k, k)
+    gold_start = np.bincount(y[0], minlength=k)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (W, T, S)]
     for step in range(1, steps + 1):
         z = np.add.reduceat(W[flat], at)
@@ -234,10 +275,10 @@ def fit(texts: list[str], labels: list[str], steps: int = 40, part: int = 32, le
 
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_lang: int = 150, max_chars: int = 50_000, fold: tuple[int, int] = (4, 2)) -> Model:
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("y")).where("d is not null and y is not null")
-    rows = rows.where(crc_mod(F.col("d"), fold[0]) != fold[1])
-    few = sampled_ids(rows.select("d", "y"), "d", "y", per_lang)
-    got = rows.where(F.length("t") <= max_chars).join(F.broadcast(few), ["d", "y"]).dropDuplicates(["d", "y"]).orderBy("d", "y").collect()
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.col(lang).alias("y")).where("d is not null and y is not null and t is not null")
+    rows = rows.where((crc_mod(F.col("d"), fold[0]) != fold[1]) & (F.length("t") <= max_chars)).withColumn("h", F.xxhash64("d", "t"))
+    few = smallest_hashes(rows.select("d", "h", "y").distinct(), "y", [F.col("h"), F.col("d")], per_lang)
+    got = rows.join(F.broadcast(few), ["d", "h", "y"]).groupBy("d", "h", "y").agg(F.first("t").alias("t")).orderBy("d", "y", "h").collect()
     return fit([r["t"] for r in got], [r["y"] for r in got])
 
 
@@ -263,3 +304,18 @@ def language_id(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text:
     held = F.coalesce(crc_mod(F.col(doc_id), fold[0]) == fold[1], F.lit(False))
     got = docs.select(F.col(doc_id).alias("doc_id"), held.alias("held_out"), predictor(docs, model)(F.col(text)).alias("p"))
     return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+def language_spans(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and the parts of every row's text: first and end token (split by white space, long ones in pieces), language."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.names, model.weights, model.trans, model.start, model.lexicon))
+    key = uuid.uuid4().hex
+
+    def label(texts: pd.Series) -> pd.Series:
+        if key not in _models:
+            _models.clear()
+            _models[key] = Model(*shared.value)
+        return pd.Series([[{"first": a, "end": b, "lang": x} for a, b, x in _models[key].spans(t)] for t in texts], dtype=object)
+
+    column = F.pandas_udf(label, "array<struct<first int, end int, lang string>>")
+    return docs.select(F.col(doc_id).alias("doc_id"), column(F.col(text)).alias("spans"))
