@@ -2,9 +2,14 @@
 
 Items and texts become lower-cased words joined by single spaces. An item of n characters may be found with
 k = floor(rate * n) edits; cut into k + 1 pieces, one of them must occur exactly. One automaton finds all pieces in
-one pass over a text, their hits imply candidate places, and Myers' bit-parallel distance verifies those. Items are
-held in lists of at most ``most_items`` at a time, further ones in further passes. Null and empty texts or items match
-nothing, nor do items under ``least_chars``; repeated rows are judged each; very long texts are searched whole.
+one pass over a text, their hits imply candidate places, and Myers' bit-parallel distance verifies those. Items under
+``least_chars`` have no error budget and must stand as whole words. A worker holds one list of about ``most_items``
+items at a time; further ones take a further pass each, whose result is written before the next list is fetched.
+
+Null and empty texts or items match nothing; an item id with several texts is found at most once a text, at its least
+distance; items without an id are left out, documents without one are judged like any others, repeated rows each; very
+long texts are searched whole; an empty table gives an empty result; further columns are kept by ``with_hits`` and not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,6 +19,8 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import materialize
+
 #: A-Z to a-z; digits, a-z and the bytes of non-ASCII characters stay; all else separates words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 HITS = "array<struct<item_id long, distance int, start long, end long>>"
@@ -58,10 +65,10 @@ class Finder:
         self.items, seeds = [], {}
         for item_id, text in items:
             n = len(text)
-            if n < least_chars:
+            if not n:
                 continue
-            k, i = int(rate * n), len(self.items)
-            self.items.append((item_id, text, k))
+            k, i = int(rate * n) if n >= least_chars else 0, len(self.items)
+            self.items.append((item_id, text, k, n < least_chars))
             cuts = [n * x // (k + 1) for x in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(text[a:b], []).append((i, a))
@@ -81,9 +88,9 @@ class Finder:
         for end, (size, places) in self.machine.iter(t):
             for i, offset in places:
                 near.setdefault(i, set()).add(end + 1 - size - offset)
-        out = []
+        out: dict[int, dict] = {}
         for i, starts in near.items():
-            item_id, item, k = self.items[i]
+            item_id, item, k, whole = self.items[i]
             best, done = None, None
             for s in sorted(starts):
                 if done is not None and s <= done:
@@ -91,6 +98,9 @@ class Finder:
                 done = s + k
                 a, b = max(0, s - k), min(len(t), s + len(item) + 3 * k)
                 if t.startswith(item, max(0, s)) and s >= 0:
+                    if whole and (s and t[s - 1] != " " or t[s + len(item) : s + len(item) + 1].strip()):
+                        done = None
+                        continue
                     found = (0, s + len(item), s)
                 elif (m := myers(item, t[a:b], k)) is None:
                     continue
@@ -101,8 +111,9 @@ class Finder:
                     if not best[0]:
                         break
             if best:
-                out.append({"item_id": item_id, "distance": best[0], "start": best[2], "end": best[1]})
-        return sorted(out, key=lambda x: x["item_id"])
+                hit = {"item_id": item_id, "distance": best[0], "start": best[2], "end": best[1]}
+                out[item_id] = min(out.get(item_id, hit), hit, key=lambda x: (x["distance"], x["start"]))
+        return sorted(out.values(), key=lambda x: x["item_id"])
 
 
 _finders: dict = {}
@@ -123,15 +134,16 @@ def finder(spark, items: list[tuple[int, str]], rate: float, least_chars: int):
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, column: str, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.06, least_chars: int = 40, most_items: int = 20_000) -> DataFrame:
     """The rows with a column of the items found; one pass over the texts a list of items."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
     lists = -(-items.count() // most_items) or 1
-    slot = F.pmod(F.xxhash64("i"), F.lit(2 * lists))
-    found = []
-    for k in range(2 * lists if lists > 1 else 1):
-        some = items.where(slot == k) if lists > 1 else items
-        got = sorted((r["i"], normal(r["t"])) for r in some.distinct().collect())
-        found.append(finder(docs.sparkSession, got, rate, least_chars)(F.col(text)))
-    return docs.withColumn(column, F.concat(*found) if len(found) > 1 else found[0])
+    slot, now = F.pmod(F.xxhash64("i"), F.lit(lists)), docs
+    for k in range(lists):  # a list's items, most_items or little more, are all that the driver and a worker hold
+        got = sorted((r["i"], normal(r["t"])) for r in items.where(slot == k).collect())
+        found = finder(docs.sparkSession, got, rate, least_chars)(F.col(text))
+        now = now.withColumn(column, F.concat(column, found) if k else found)
+        if k < lists - 1:
+            now = materialize(now, "hits")
+    return now
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -12,7 +12,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from . import tokens
@@ -87,26 +88,34 @@ def plan(histogram: dict[int, int], most: int) -> list[tuple[int, int, int, int,
 def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: a document's ids and the end id, cut only if longer than max_tokens; the first piece takes the remainder."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, end, size = tokens.codec(path, "bytes"), end_id.to_bytes(4, "little"), 4 * max_tokens
         for b in batches:
-            rows = []
-            for d, t in zip(b["doc_id"], b["t"], strict=True):
+            of, piece, start, length, crc = [], [], [], [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
                 ids = c.text(t) + end
                 first = len(ids) % size or size
                 cuts = [0, *range(first, len(ids) + 1, size)]
-                rows += [(d, k, x // 4, (y - x) // 4, zlib.crc32(ids[x:y])) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": b["doc_id"].dtype})
+                for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    of.append(i)
+                    piece.append(k)
+                    start.append(x // 4)
+                    length.append((y - x) // 4)
+                    crc.append(zlib.crc32(ids[x:y] if k or y < len(ids) else ids))
+            at = pa.array(of, pa.int64())
+            made = [pa.array(np.array(x, kind)) for x, kind in ((piece, np.int32), (start, np.int64), (length, np.int64), (crc, np.int64))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), *made], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
-    return rows.mapInPandas(cut, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", max_tokens: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are one piece, the end id. Equal lengths are placed in order of (bucket, doc_id, piece);
-    repeated rows are packed each. An empty table gives an empty result; further columns are not read.
+    repeated rows are packed each. Very long texts are encoded whole, then cut. An empty table gives an empty result;
+    further columns are not read, whatever their names.
     """
     made = pieces(docs, path, doc_id=doc_id, text=text, max_tokens=max_tokens, end_id=end_id)
     made = made.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(4096)).cast("int"))

@@ -82,4 +82,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from . import urls
 
-    return {"op3_url_filter": urls.sql()}
+    return {"op3_url_filter": urls.SQL}

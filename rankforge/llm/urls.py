@@ -4,7 +4,9 @@ A rule is a host and path prefix (``example.net/en/``: that host and its subdoma
 host and path. Its literal tokens are the alphanumeric runs that it holds whole; the index keeps each rule under the
 one that the fewest URLs have, counted over the whole table. A URL's tokens fetch candidate rules, and only those run
 their regular expressions; rules without a whole token are few and always run. The longest host rule decides, else
-any blocking pattern. Null urls and those without ``://`` have an empty host and path and are allowed.
+any blocking pattern. Null urls and those without ``://`` have an empty host and path and are allowed. Repeated rows
+and those without an id are judged each; very long urls are matched whole; an empty table gives an empty result;
+further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 TOKEN = re.compile(r"[0-9a-z]+")
@@ -57,10 +59,22 @@ def split(url: str):
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def rules_of(table: DataFrame, most_rules: int = 1_000_000) -> tuple[tuple[Rule, ...], tuple[Rule, ...]]:
+    """Host rules and patterns from a table (text, verdict, host boolean), counted before they are fetched."""
+    rows = table.where("text is not null and verdict in ('allow', 'block')").select("text", "verdict", F.coalesce("host", F.lit(True)).alias("host")).distinct()
+    if rows.count() > most_rules:
+        raise ValueError("more rules than a worker should hold: judge them in parts")
+    every = [Rule(*r) for r in rows.orderBy("text", "verdict", "host").collect()]
+    return tuple(r for r in every if r.host), tuple(r for r in every if not r.host)
+
+
 def token_counts(parsed: DataFrame, wanted: list[str]) -> dict[str, int]:
-    """How many URLs hold each of the rules' tokens; one row a token comes back."""
+    """How many URLs hold each of the rules' tokens: a join with the tokens, and one row a token that comes back."""
+    spark = parsed.sparkSession
+    mine = spark.createDataFrame([(t,) for t in wanted], "token string")
     tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit("([0-9a-z]+)")))
-    rows = parsed.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, wanted)))).alias("token"))
+    rows = parsed.select(F.explode(tokens).alias("token"))
+    rows = rows.join(F.broadcast(mine) if len(wanted) <= 100_000 else mine, "token", "left_semi")
     return {r["token"]: r["n"] for r in rows.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
@@ -84,33 +98,47 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, patterns: tuple[Rul
     wanted = sorted({t for r in every for t in r.tokens()})
     by_token, always = index(every, token_counts(parsed, wanted) if wanted else {})
     decisive = len(rules)
+    shared = pages.sparkSession.sparkContext.broadcast((every, by_token, always))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, by_token, always = shared.value
+        compiled: dict[int, re.Pattern] = {}
+
+        def fits(i: int, where: str) -> bool:
+            if i not in compiled:
+                compiled[i] = re.compile(every[i].regex(), re.S)
+            return compiled[i].search(where) is not None
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        compiled = [re.compile(r.regex(), re.S) for r in every]
         for b in batches:
-            out = []
-            for h, p in zip(b["host"], b["path"], strict=True):
+            rules, verdicts, candidates = [], [], []
+            for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist(), strict=True):
                 where = h + p
-                near = sorted({i for t in set(TOKEN.findall(where.lower())) for i in by_token.get(t, ())} | {*always})
-                fits = [i for i in near if compiled[i].search(where)]
-                best = max((i for i in fits if i < decisive), key=lambda i: (len(every[i].text), -i), default=None)
-                verdict = every[best].verdict if best is not None else "block" if any(every[i].verdict == "block" for i in fits) else "allow"
-                out.append((every[best].text if best is not None else None, verdict, len(near)))
-            yield pd.DataFrame({"page_id": b["page_id"], "host": b["host"], "path": b["path"], "rule": [x[0] for x in out], "verdict": [x[1] for x in out], "candidates": [x[2] for x in out]})
-
-    return parsed.mapInPandas(work, f"page_id {dict(parsed.dtypes)['page_id']}, host string, path string, rule string, verdict string, candidates int")
-
-
-def sql() -> str:
-    """The same without an index: every rule tried on every url."""
-    fits = lambda r: f"regexp_matches(host || path, '{r.regex()}', 's')"
-    longest = sorted(RULES, key=lambda r: -len(r.text))
-    rule = " ".join(f"WHEN {fits(r)} THEN '{r.text}'" for r in longest)
-    verdict = " ".join(f"WHEN rule = '{r.text}' THEN '{r.verdict}'" for r in RULES)
-    block = " OR ".join(fits(r) for r in PATTERNS if r.verdict == "block")
-    return f"""
-    WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
-    b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-                 regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-    c AS (SELECT *, CASE {rule} END AS rule FROM b)
-    SELECT page_id, host, path, rule, CASE {verdict} WHEN {block} THEN 'block' ELSE 'allow' END AS verdict FROM c"""
+                near = {i for t in set(TOKEN.findall(where.lower())) for i in by_token.get(t, ())}.union(always)
+                good = [i for i in near if fits(i, where)]
+                best = max((i for i in good if i < decisive), key=lambda i: (len(every[i].text), every[i].verdict, -i), default=None)
+                rules.append(every[best].text if best is not None else None)
+                verdicts.append(every[best].verdict if best is not None else "block" if any(every[i].verdict == "block" for i in good) else "allow")
+                candidates.append(len(near))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("host"), b.column("path"), pa.array(rules, pa.string()), pa.array(verdicts, pa.string()), pa.array(candidates, pa.int32())], ["page_id", "host", "path", "rule", "verdict", "candidates"])
+
+    return parsed.mapInArrow(work, f"page_id {dict(parsed.dtypes)['page_id']}, host string, path string, rule string, verdict string, candidates int")
+
+
+#: The four rules of the contract and the patterns, each written out; no index and no code of the operator's.
+SQL = r"""
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+c AS (SELECT page_id, host, path, CASE
+        WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+        WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+        WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+        WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM b)
+SELECT page_id, host, path, rule, CASE
+        WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow'
+        WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
+        WHEN contains(host || path, '/spam-farm.') OR contains(host || path, '/casino/') THEN 'block'
+        WHEN starts_with(host, 'spam-farm.') OR contains(host, '.spam-farm.') THEN 'block'
+        WHEN (host = 'click-bait.example.org' OR ends_with(host, '.click-bait.example.org')) AND path <> '' THEN 'block'
+        WHEN strpos(host || path, '/login') > 0 AND contains(substr(host || path, strpos(host || path, '/login') + 6), 'redirect') THEN 'block'
+        ELSE 'allow' END AS verdict FROM c"""

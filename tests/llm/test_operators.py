@@ -211,7 +211,7 @@ def test_urls_against_every_rule(spark):
     c = duckdb.connect()
     c.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
     c.executemany("INSERT INTO pages VALUES (?, ?)", [[i, u] for i, u in enumerate(odd + odd)])
-    rows = c.execute(f"SELECT page_id, coalesce(host, ''), coalesce(path, ''), rule, verdict FROM ({urls.sql()}) ORDER BY 1").fetchall()
+    rows = c.execute(f"SELECT page_id, coalesce(host, ''), coalesce(path, ''), rule, verdict FROM ({urls.SQL}) ORDER BY 1").fetchall()
     assert got == rows
     assert urls.judge(pages.limit(0)).count() == 0
 
