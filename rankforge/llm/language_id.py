@@ -178,7 +178,9 @@ class Model:
             if out and out[-1][2] == self.langs[y]:
                 out[-1] = (out[-1][0], w + 1, out[-1][2])
             else:
-                out.append((out[-1][1] if out else 0, w + 1, self.langs[y]))
+                if out:
+                    out[-1] = (out[-1][0], w, out[-1][2])
+                out.append((w if out else 0, w + 1, self.langs[y]))
         return [*out[:-1], (out[-1][0], len(tokens), out[-1][2])] if out else []
 
     def _judge(self, rows: list[np.ndarray], table: np.ndarray) -> list[tuple[str, float]]:

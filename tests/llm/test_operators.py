@@ -336,3 +336,188 @@ def test_language_reads_the_end_of_a_long_word_and_wants_letters():
     model = language_id.fit(["the cat and the dog"] * 4 + ["der hund und die katze"] * 4, ["en"] * 4 + ["de"] * 4)
     got = model.predict(["q" * 45 + "derhundunddiekatze" * 20, "q" * 45 + "thecatandthedog" * 20, "½ ² 7", "", None])
     assert [x for x, _ in got] == ["de", "en", "und", "und", "und"]
+
+
+ODD_IDS = [None, 2**53 + 1, 2**53 + 3, 2**63 - 1, -(2**63) + 1, -5, None, 0]
+
+
+def test_ids_stay_whole_beside_null_ones(spark):
+    docs = spark.createDataFrame([(i, f"text {k} of these", 1.0) for k, i in enumerate(ODD_IDS)], "doc_id long, text string, score double").coalesce(1)
+    pages = spark.createDataFrame([(i, "http://a.net/", "x") for i in ODD_IDS], "page_id long, url string, host string").coalesce(1)
+    model, langs = toxicity.fit(["you idiot", "good work"], [1, 0]), language_id.fit(["the cat", "der hund"], ["en", "de"])
+    bench = spark.createDataFrame([(2**53 + 1, "of these")], "item_id long, text string")
+    found = [
+        toxicity.toxicity(docs, model), licenses.digest(licenses.scan(docs)), urls.judge(pages), packing.pack(docs, BPE), decontaminate.decontaminate(docs, bench), simhash.near_duplicates(docs),
+        chunk_fingerprints.with_next(docs), chunk_fingerprints.fingerprints(docs), token_files.round_trip(docs, BPE), token_counts.token_counts(docs, BPE), language_id.language_id(docs, langs), language_id.language_spans(docs, langs),
+    ]
+    for got in found:
+        assert sorted((r[0] for r in got.select("page_id" if "page_id" in got.columns else "doc_id").collect()), key=key) == sorted(ODD_IDS, key=key), got.columns
+    assert decontaminate.decontaminate(docs, bench).first().item_id == 2**53 + 1
+
+
+def test_id_ranges_follow_the_order(spark):
+    from rankforge.llm.common import id_ranges
+
+    r = random.Random(3)
+    ids = [None] * 40 + [7] * 40 + [r.randrange(-(2**62), 2**62) for _ in range(80)]
+    rows = spark.createDataFrame([(i, "x" * r.randrange(2000), k) for k, i in enumerate(ids)], "doc_id long, t string, tie long")
+    parts, ranged = id_ranges(rows, 1000)
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.tie), r.pid) for r in ranged.collect())
+    assert [p for _, p in got] == sorted(p for _, p in got) and 40 < parts < 200 and {p for _, p in got} <= set(range(parts))
+    assert len({p for (some, d, _), p in got if not some}) > 3 and len({p for (some, d, _), p in got if some and d == 7}) > 3
+
+
+def test_many_ranges(spark, docs, whole):
+    got = sorted(token_files.round_trip(docs, BPE, range_bytes=50).collect(), key=lambda r: r.start)
+    want = sorted(((i, [*ids_of(whole, t), 0]) for i, t in ROWS), key=lambda x: key(x[0]))
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want]
+    near, far = (sorted(map(tuple, chunk_fingerprints.with_next(docs, range_bytes=n).collect()), key=str) for n in (50, 1 << 30))
+    assert near == far
+
+
+def words_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, d in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return row[-1]
+
+
+def test_fuzzy_license_places_against_all_windows():
+    scanner = licenses.Scanner()
+    for seed in range(150):
+        r = random.Random(seed)
+        parts = ["mit license", "mit licence", "apache license", "apach license", "gnu general public licence", "gnu general public license", "all right reserved", "the", "of", "cc by nc", "licensed under cc by nd", "mi t licens"]
+        w = " ".join(r.choice(parts) for _ in range(r.randint(1, 7))).split()
+        _, found = scanner.search(" ".join(w))
+        for n in licenses.NOTICES:
+            mine = sorted((a, b, e) for x, a, b, e, _ in found if x is n)
+            assert all(words_distance(n.phrase, " ".join(w[a:b])) <= e <= n.errors for a, b, e in mine)
+            assert all(x[1] <= y[0] for x, y in zip(mine, mine[1:], strict=False))
+            for a in range(len(w)):
+                for b in range(a + 1, min(len(w), a + len(n.phrase.split()) + n.errors) + 1):
+                    if words_distance(n.phrase, " ".join(w[a:b])) <= n.errors:
+                        assert any(x < b and y > a for x, y, _ in mine), (w, n.label, a, b, mine)
+
+
+def test_both_places_beside_each_other_are_kept():
+    _, found = licenses.Scanner().search("mit license mit licence; gnu general public license; gnu general public licence")
+    assert sorted((x.label, e) for x, _, _, e, _ in found) == [("gpl", 0), ("gpl", 1), ("mit", 0), ("mit", 1)]
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        _, found = licenses.Scanner().search("mit licence or mit license " * n)
+        took.append(time.process_time() - began)
+        assert len(found) == 2 * n
+    assert took[1] < 10 * took[0]
+    assert len(licenses.Scanner().search("icense" * 200_000)[1]) == 0
+
+
+def test_a_hundred_thousand_rules_from_a_table(spark):
+    made = spark.range(100_000).selectExpr("concat('host', id, '.example/p', id % 7, '/') AS text", "if(id % 2 = 0, 'block', 'allow') AS verdict", "true AS host")
+    made = made.unionByName(spark.createDataFrame([("/x*y", "block", False), ("example/", "block", True), (None, "block", True)], "text string, verdict string, host boolean"))
+    rules, patterns = urls.rules_of(made)
+    assert (len(rules), len(patterns)) == (100_001, 1)
+    pages = spark.createDataFrame([(i, f"http://a.host{i}.example/p{i % 7}/{'z' * 100_000 if i == 9 else 'q'}") for i in range(20)] + [(99, "http://h/x1y"), (100, "http://h/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict, r.candidates) for r in urls.judge(pages, rules, patterns).collect()}
+    assert all(got[i][:2] == (f"host{i}.example/p{i % 7}/", "block" if i % 2 == 0 else "allow") and got[i][2] < 10 for i in range(20))
+    assert got[99][:2] == (None, "block") and got[100][:2] == (None, "allow")
+    with pytest.raises(ValueError):
+        urls.rules_of(made, most_rules=100)
+
+
+def test_short_items_and_several_texts_of_an_item(spark):
+    docs = spark.createDataFrame([(1, "They asked: what is Blue?"), (2, "what is bluest"), (3, "a b c d e f")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is blue"), (2, "b C"), (2, "c d e"), (3, "z")], "item_id long, text string")
+    got = sorted(tuple(r)[:3] for r in decontaminate.decontaminate(docs, bench).collect())
+    assert got == [(1, 1, 0), (3, 2, 0)]
+
+
+def slow_chunks(data):
+    """Byte by byte: the same rule without arrays."""
+    h, at, out = 0, 0, {}
+    for end, b in enumerate(data, 1):
+        h = (h << 1) + int(chunk_fingerprints.GEAR[b]) & 0xFFFFFFFF
+        n = end - at
+        strict, loose = h >> 32 - chunk_fingerprints.STRICT == 0, h >> 32 - chunk_fingerprints.LOOSE == 0
+        if end == len(data) or n == chunk_fingerprints.MOST or chunk_fingerprints.LEAST <= n <= chunk_fingerprints.USUAL and strict or n >= chunk_fingerprints.USUAL and loose:
+            d = xxhash.xxh64_intdigest(data[at:end]) >> 16
+            out[d] = out.get(d, 0) + n
+            at = end
+    return out
+
+
+def test_chunks_against_byte_by_byte(spark, docs):
+    for seed in range(120):
+        r = random.Random(seed)
+        data = bytes(r.randrange(97, 123) if r.random() < 0.9 else 32 for _ in range(r.choice([0, 1, 15, 16, 17, 48, 49, 192, 193, 700, 3000])))
+        assert chunk_fingerprints.chunks(data) == slow_chunks(data), len(data)
+    ordered = sorted(ROWS, key=lambda x: key(x[0]))
+    by = {r.doc_id: r for r in chunk_fingerprints.with_next(docs).collect()}
+    share = lambda a, b: sum(min(n, b.get(d, 0)) for d, n in a.items()) / sum(a.values()) if a else float(not b)
+    for k, (i, t) in enumerate(ordered):
+        t, after = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        if i != 1:
+            own, edited, other = (slow_chunks(x.encode()) for x in (t, t[: len(t) - len(t) // 4] + after[: len(t) // 4], after))
+            assert (by[i].fingerprint, by[i].edited_fingerprint) == (chunk_fingerprints.text_of(own), chunk_fingerprints.text_of(edited))
+            assert by[i].near_edited == pytest.approx(share(own, edited)) and by[i].near_next == pytest.approx(share(own, other))
+
+
+def test_close_counts_any_radius():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    x[100:] = x[:100] ^ rng.integers(0, 1 << 20, 100, dtype=np.uint64)
+    for radius in (0, 1, 3, 7, 8, 12, 26):
+        want = components(range(200), [(i, j) for i, j in combinations(range(200), 2) if int(x[i] ^ x[j]).bit_count() <= radius])
+        assert simhash.forest(x, np.zeros(200, np.int64), radius).tolist() == [want[i] for i in range(200)]
+
+
+def test_sentencepiece_words_against_the_library():
+    import sentencepiece
+
+    for name in ("piece_bpe_32k.model",):
+        path = public_tokenizers.path(name)
+        sp, mine = sentencepiece.SentencePieceProcessor(model_file=path), tokens.Pieces(path)
+        parts = ["the", "word", " ", "  ", "re-do", "(x)", "12.5", "é", "日本", "\n", "　", "<s>", "don't", "ﬁ"]
+        for seed in range(1500):
+            r = random.Random(seed)
+            t = r.choice(["", " "]).join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randint(0, 8)))
+            assert mine.text(t) == len(sp.encode(t)), repr(t)
+
+
+def test_training_samples_skip_long_and_repeated_rows(spark):
+    from rankforge.llm.common import smallest_hashes
+    from pyspark.sql import functions as F
+
+    long = "word " * 30
+    rows = [(i, long if i < 400 else f"good day {i}" if i % 2 else f"you idiot {i}") for i in range(460)] + [(401, "good day 401")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(460)] + [(401, 0)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, per_class=40, max_chars=100)
+    assert model.score("an idiot") > 0.5 > model.score("a good day")
+    langs = language_id.train(spark.createDataFrame([(i, long if i < 400 else "the cat sat" if i % 2 else "der hund sass", "en" if i % 2 else "de") for i in range(460)], "doc_id long, text string, lang string"), per_lang=20, max_chars=100)
+    assert [x for x, _ in langs.predict(["the cat", "der hund"])] == ["en", "de"]
+    many = spark.range(5000).select(F.col("id"), F.xxhash64("id").alias("h"), (F.col("id") % 10 == 0).cast("int").alias("y"))
+    got = smallest_hashes(many, "y", [F.col("h"), F.col("id")], 100).collect()
+    for y in (0, 1):
+        assert sorted(r.h for r in got if r.y == y) == sorted(r.h for r in many.collect() if r.y == y)[:100]
+
+
+def test_language_spans_of_mixed_texts(spark):
+    r = random.Random(5)
+    words = {"aa": ["kala", "mito", "suna", "toka", "nelu"], "bb": ["gröx", "schunt", "pfeld", "wrisk", "dremp"]}
+    text = lambda x, n: [r.choice(words[x]) for _ in range(n)]
+    model = language_id.fit([" ".join(text(x, 60)) for x in ["aa", "bb"] * 20], ["aa", "bb"] * 20)
+    mixed = " ".join(["12", *text("aa", 6), "--", *text("bb", 5), *text("aa", 4), "!"])
+    assert model.spans(mixed) == [(0, 8, "aa"), (8, 13, "bb"), (13, 18, "aa")]
+    docs = spark.createDataFrame([(1, mixed, "x"), (2, None, "y"), (None, "1 2", "z")], "doc_id long, text string, spans string")
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in language_id.language_spans(docs, model).collect()}
+    assert got == {1: [(0, 8, "aa"), (8, 13, "bb"), (13, 18, "aa")], 2: [], None: []}
+    assert model.trans.min() > 0 and model.trans[0, 1] > model.trans[0, 0] / 200
