@@ -76,3 +76,31 @@ def support_grounding(cited: Column, given: Column, text: Column) -> Column:
 def evidence_alignment(support: Column, support_seen: Column, negative: Column, negative_seen: Column) -> Column:
     """0.9 of the F1 of supporting items and 0.1 of the F1 of negative ones."""
     return 0.9 * set_f1(support, support_seen) + 0.1 * set_f1(negative, negative_seen)
+
+
+def semantic_field(expected: Column, observed: Column) -> Column:
+    """1 if both are unknown or equal but for case and spaces, 0 if one is unknown, else the F1 of their words."""
+    from rankforge.functions.parsing import is_unknown
+
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    same = F.when(norm(expected) == norm(observed), 1.0).otherwise(token_f1(expected, observed))
+    return F.when(is_unknown(expected) & is_unknown(observed), 1.0).when(is_unknown(expected) | is_unknown(observed), 0.0).otherwise(same)
+
+
+def abstention(expected: Column, observed: Column) -> Column:
+    """1 if both or neither abstain, 0.35 for a needless abstention, 0 for a missing one."""
+    return F.when(expected == observed, 1.0).when(observed & ~expected, 0.35).otherwise(0.0)
+
+
+def weighted_total(parts: dict[str, Column], weights: dict[str, float]) -> Column:
+    total = F.lit(0.0)
+    for name, w in weights.items():
+        total = total + F.lit(w) * parts[name]
+    return total
+
+
+def result_record(df, want: str, got: str, made: str, given: str):
+    """Adds exact (two missing labels match), made and grounded (repeats count), and their rate (null without any)."""
+    grounded = F.size(F.filter(made, lambda g: F.array_contains(given, g)))
+    out = df.withColumn("exact", F.col(want).eqNullSafe(F.col(got))).withColumn("grounded", grounded).withColumn("made", F.size(made))
+    return out.withColumn("rate", F.try_divide("grounded", "made"))

@@ -6,12 +6,20 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def target_counts(n: Column, train: float, validation: float) -> tuple[Column, Column, Column]:
-    """Rows for train, val and test: train floor(n*train) but 1 at least; val 0 under ten rows, else floor but 1 at least."""
+    """Rows for train, val and test.
+
+    Train gets floor(n * train) but 1 at least; val none under ten rows, else floor(n * validation) but 1 at least, and
+    no more than train leaves. Then train gives one row to an empty test (of three rows or more) and one to an empty
+    val (of ten or more), as long as it has two.
+    """
     t = F.greatest(F.lit(1), F.floor(n * train + 1e-9)).cast("long")
     v = F.when(n < 10, 0).otherwise(F.greatest(F.lit(1), F.floor(n * validation + 1e-9))).cast("long")
-    t = F.when(t + v > n, F.greatest(F.lit(0), n - v)).otherwise(t)
-    t, v = F.when(n <= 1, n).otherwise(t).cast("long"), F.when(n <= 1, 0).otherwise(v).cast("long")
-    return t, v, (n - t - v).cast("long")
+    v = F.least(v, F.greatest(F.lit(0), n - t)).cast("long")
+    t, v = F.when(n <= 0, 0).otherwise(t), F.when(n <= 0, 0).otherwise(v)
+    to_test = ((n >= 3) & (n - t - v == 0) & (t > 1)).cast("long")
+    to_val = ((n >= 10) & (v == 0) & (t - to_test > 1)).cast("long")
+    t, v = t - to_test - to_val, v + to_val
+    return t.cast("long"), v.cast("long"), (n - t - v).cast("long")
 
 
 def stratified_split(df: DataFrame, sample: str, label: str, seed: str, train: float, validation: float) -> DataFrame:

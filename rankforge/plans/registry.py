@@ -130,17 +130,36 @@ def template_choice_and_id(spark, d):
     return t(spark, d, "documents").select("doc_id", tx.choice(key, 3).alias("template"), tx.stable_id(F.col("lang"), F.col("source"), key).alias("id"))
 
 
-_TARGETS = """CASE WHEN n <= 1 THEN n ELSE greatest(1, floor(n * 0.8 + 1e-9))::bigint END AS t, CASE WHEN n < 10 THEN 0 ELSE greatest(1, floor(n * 0.1 + 1e-9))::bigint END AS v"""
+def _targets(n: str, train: str, val: str) -> str:
+    """SQL columns t and v of the split counts, step by step, over a relation with these columns."""
+    return f"""SELECT * EXCLUDE (t0, v0, v1, t2), t2 - (n >= 10 AND v1 = 0 AND t2 > 1)::bigint AS t, v1 + (n >= 10 AND v1 = 0 AND t2 > 1)::bigint AS v
+      FROM (SELECT *, t0 - (n >= 3 AND n - t0 - v1 = 0 AND t0 > 1)::bigint AS t2
+      FROM (SELECT *, CASE WHEN t0 + v0 > n THEN greatest(0, n - t0) ELSE v0 END AS v1
+      FROM (SELECT *, greatest(1, floor(n * {train} + 1e-9))::bigint AS t0,
+        CASE WHEN n < 10 THEN 0 ELSE greatest(1, floor(n * {val} + 1e-9)) END::bigint AS v0 FROM {n})))"""
 
 
-@query(f"SELECT lang, n, t AS train, v AS val, n - t - v AS test FROM (SELECT *, {_TARGETS} FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1))")
+_RATIOS = ((0.8, 0.1), (0.7, 0.15), (0.5, 0.5), (0.95, 0.2), (0.34, 0.33))
+_COUNTED = "(SELECT n, a, b FROM (SELECT DISTINCT count(*) AS n FROM orders GROUP BY o_custkey UNION SELECT count(*) FROM documents GROUP BY lang), (VALUES {}) r(a, b))"
+
+
+@query(f"SELECT a, b, n, t AS train, v AS val, n - t - v AS test FROM ({_targets(_COUNTED.format(', '.join(f'({a}::double, {b}::double)' for a, b in _RATIOS)), 'a', 'b')})")
 def target_counts(spark, d):
-    n = t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return n.select("lang", "n", *[c.alias(a) for c, a in zip(splitting.target_counts(F.col("n"), 0.8, 0.1), ("train", "val", "test"), strict=True)])
+    """Counts at several ratios for every number of orders that a customer has, and of documents of a language."""
+    n = t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).select("n")
+    n = n.unionByName(t(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n")).select("n")).distinct()
+    out = None
+    for a, b in _RATIOS:
+        counts = zip(splitting.target_counts(F.col("n"), a, b), ("train", "val", "test"), strict=True)
+        x = n.select(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", *[c.alias(k) for c, k in counts])
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+_RANKED = "(SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('7:' || doc_id::varchar), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)"
 
 
-@query(f"""WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('7:' || doc_id::varchar), doc_id) AS k, count(*) OVER (PARTITION BY lang) AS n FROM documents)
-  SELECT doc_id, lang, CASE WHEN k <= t THEN 'train' WHEN k <= t + v THEN 'val' ELSE 'test' END AS split FROM (SELECT *, {_TARGETS} FROM r)""")
+@query(f"SELECT doc_id, lang, CASE WHEN k <= t THEN 'train' WHEN k <= t + v THEN 'val' ELSE 'test' END AS split FROM ({_targets(_RANKED, '0.8', '0.1')})")
 def stratified_split(spark, d):
     return splitting.stratified_split(t(spark, d, "documents"), "doc_id", "lang", "7", 0.8, 0.1)
 
@@ -374,7 +393,10 @@ def stream_windows(spark, d):
     x = spark.readStream.schema(e.schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     counted = x.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     name = f"windows_{abs(hash(d)) % 10**9}_{next(_serial)}"
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-rankforge-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-rankforge-")
     q = counted.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{folder}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.to_date("w.start").cast("string").alias("day"), "event_type", "n", F.bround("total", 2).alias("total"))
@@ -385,3 +407,4 @@ _serial = iter(range(10**9))
 
 from rankforge.plans import more as _more  # noqa: E402, F401  registers further queries
 from rankforge.plans import building as _building  # noqa: E402, F401
+from rankforge.plans import parsing as _parsing, validation as _validation, reports as _reports, selection as _selection  # noqa: E402, F401
