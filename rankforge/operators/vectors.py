@@ -82,3 +82,21 @@ def geometry(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """(dim, mean, var): population moments of each dimension."""
     x = df.select(F.posexplode(vector).alias("dim", "x"))
     return x.groupBy("dim").agg(F.avg(F.col("x").cast("double")).alias("mean"), F.var_pop(F.col("x").cast("double")).alias("var"))
+
+
+def contrastive_loss(df: DataFrame, batch: str, key: str, vector: str, temperature: float) -> DataFrame:
+    """Each batch's n and mean normalised temperature-scaled cross entropy; 2i and 2i + 1 are a positive pair.
+
+    A batch is bounded by its caller (as in training), so its members meet in one list; vectors without a partner have
+    no loss of their own but stand among the others' negatives.
+    """
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    member = F.struct(F.col(key).alias("k"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n"))
+    x = df.groupBy(batch).agg(F.collect_list(member).alias("all")).select(batch, "all", F.explode("all").alias("me"))
+    others = F.filter("all", lambda o: o["k"] != F.col("me.k"))
+    x = x.withColumn("s", F.transform(others, lambda o: F.struct(o["k"].alias("k"), (dot(o["v"], F.col("me.v")) / (o["n"] * F.col("me.n")) / temperature).alias("s"))))
+    partner = F.when(F.col("me.k") % 2 == 0, F.col("me.k") + 1).otherwise(F.col("me.k") - 1)
+    mine = F.try_element_at(F.filter("s", lambda o: o["k"] == partner), F.lit(1))["s"]
+    loss = F.log(F.aggregate("s", F.lit(0.0), lambda a, o: a + F.exp(o["s"]))) - mine
+    return x.select(batch, loss.alias("loss")).groupBy(batch).agg(F.count("loss").alias("n"), F.avg("loss").alias("loss"))
