@@ -88,6 +88,7 @@ def exact_links(texts: DataFrame, members: DataFrame, least: float, group_rows:
             h = [shingle_set(t).astype(np.uint32) for t in b.column("t").to_pylist()]  # 32 bits tell the shingles of two texts apart
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "root", "chunks")), pa.array([np.unique(x).tobytes() for x in h], pa.binary())], ["node", "root", "chunks", "h"])
 
+    placed = placed.hint("shuffle_hash")  # one way at every size: only the members' side is held, texts are not sorted
     sets = texts.join(placed, ["file", "at"]).select("node", "root", "chunks", "t").mapInArrow(hashes, "node long, root long, chunks int, h binary")
     own = F.coalesce(F.pmod(F.xxhash64("node", F.lit(11)), F.col("chunks")).cast("int"), none)
     other = F.explode(F.when(F.col("chunks").isNull(), F.array(none)).otherwise(F.sequence(none, F.col("chunks") - 1)))
@@ -160,4 +161,4 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lea
     kept = materialize(kept, "kept")
     for done in (sets, members):
         drop_table(done)
-    return held.select("*", *place).join(kept, ["__file", "__at"], "left_semi").select(*docs.columns)
+    return held.select("*", *place).join(kept.hint("shuffle_hash"), ["__file", "__at"], "left_semi").select(*docs.columns)
