@@ -248,13 +248,15 @@ def fit(texts: list[str], labels: list[str], steps: int = 40, part: int = 32, le
     for i, (s, labels_of) in enumerate(zip(seqs, ys, strict=True)):
         x[i, : len(s)], y[i, : len(s)] = s, labels_of
     x, y, mask = x.T, y.T, (np.arange(part)[:, None] < size)
-    named = [features(w, lexicon) for w in ids]
-    often = Counter(f for x in named for f in x)
+    often: Counter = Counter()
+    for w in ids:
+        often.update(features(w, lexicon))
     names = [f for f, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
     index = {f: i for i, f in enumerate(names)}
-    feats = [[index[f] for f in x if f in index] for x in named]
+    del often
+    feats = [np.array([index[f] for f in features(w, lexicon) if f in index], np.int32) for w in ids]  # numbers, not the features' texts
     sizes = np.array(list(map(len, feats)))
-    flat, at, of_word = np.concatenate([np.array(f) for f in feats]), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(ids)), sizes)
+    flat, at, of_word = np.concatenate(feats), np.cumsum(sizes) - sizes, np.repeat(np.arange(len(ids)), sizes)
     W, T, S = np.zeros((len(names), k)), np.eye(k) * 2.0, np.zeros(k)
     gold_words = np.bincount((x * k + y)[mask], minlength=len(ids) * k).reshape(-1, k)
     gold_trans = np.bincount((y[:-1] * k + y[1:])[mask[1:]], minlength=k * k).reshape(k, k)

@@ -98,16 +98,17 @@ def fit(texts: list[str | None], labels: list[int], steps: tuple[int, int] = (40
     for t in texts:
         words = [p for w in map(clean, (t or "").split()) if w for p in pieces(w)]
         seqs.append(np.array([ids.setdefault(w, len(ids)) for w in words] or [ids.setdefault("", len(ids))], np.int32))
-    grams = [subwords(w) for w in ids]
     often: Counter = Counter()
     texts_with = np.bincount(np.concatenate([np.unique(s) for s in seqs]), minlength=len(ids)).tolist()
-    for x, n in zip(grams, texts_with, strict=True):
-        for g in set(x):
+    for w, n in zip(ids, texts_with, strict=True):
+        for g in set(subwords(w)):
             often[g] += n
     names = [g for g, n in sorted(often.items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY] if n > 1] or [""]
     index = {g: i for i, g in enumerate(names)}
-    sizes = np.array(list(map(len, grams)))
-    gram = np.array([index.get(g, -1) for x in grams for g in x])
+    del often
+    each = [np.array([index.get(g, -1) for g in subwords(w)], np.int32) for w in ids]  # numbers, not the texts of n-grams
+    sizes = np.array(list(map(len, each)))
+    gram = np.concatenate(each)
     of_word = np.repeat(np.arange(len(ids)), sizes)[gram >= 0]
     gram = gram[gram >= 0]
     flat, length = np.concatenate(seqs), np.array(list(map(len, seqs)))
