@@ -29,7 +29,7 @@ def neighbours(queries: DataFrame, base: DataFrame, k: int, *, vec_id: str = "ve
         near, shared = _against(rows, base, k, vec_id, vector, label)
         if not ahead and path is None:
             return best(near)
-        from rankforge.llm.common import new_path
+        from rankforge.sources.scratch import new_path
 
         path = path or new_path(spark, "neighbours")
         best(near).drop("rank").write.mode("append").parquet(path)
