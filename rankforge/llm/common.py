@@ -8,9 +8,28 @@ import zlib
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 _own: dict[str, str] = {}
+_held: dict = {}
+
+
+def free_others() -> None:
+    """Drops what this Python worker holds for other stages, so that the caches of one job's operators do not add up."""
+    task = TaskContext.get()
+    stage = task.stageId() if task else None
+    for key in [k for k, (at, _) in _held.items() if at != stage]:
+        del _held[key]
+
+
+def held(key, make):
+    """What this Python worker holds under ``key``: made at its first use in a stage and kept for the stage's further tasks."""
+    free_others()
+    if key not in _held:
+        task = TaskContext.get()
+        _held[key] = (task.stageId() if task else None, make())
+    return _held[key][1]
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, free_others, materialize
 from .simhash import bits_of, components, group_links
 
 BANDS, ROWS, RADIUS = 20, 4, 26
@@ -57,11 +57,13 @@ def forest(sets: list[np.ndarray], least: float) -> np.ndarray:
         o = o[np.minimum(size[o], size[i]) >= least * np.maximum(size[o], size[i]) - 1e-9]
         if not len(o):
             continue
-        x = np.concatenate([sets[j] for j in o])
-        hit = sets[i][np.minimum(np.searchsorted(sets[i], x), size[i] - 1)] == x
-        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size[o]) - size[o])
-        near = o[common * (1 + least) >= least * (size[o] + size[i]) - 1e-9]
-        if len(near):
+        near = []
+        for c in np.split(o, np.flatnonzero(np.diff(np.cumsum(size[o]) // 500_000)) + 1):  # arrays of one slice at a time
+            x = np.concatenate([sets[j] for j in c])
+            hit = sets[i][np.minimum(np.searchsorted(sets[i], x), size[i] - 1)] == x
+            common = np.add.reduceat(hit.astype(np.int32), np.cumsum(size[c]) - size[c])
+            near += c[common * (1 + least) >= least * (size[c] + size[i]) - 1e-9].tolist()
+        if near:
             joined = np.unique(np.append(label[near], label[i]))
             label[np.isin(label, joined)] = joined[0]
     return label
@@ -140,6 +142,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lea
     texts = texts.select("id", "t", F.xxhash64("path").alias("file"), "at")
 
     def judge(found: pd.Series) -> pd.DataFrame:
+        free_others()
         rows = []
         for t in found:
             h = shingle_set(t)
