@@ -19,7 +19,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import held, materialize
 
 #: A-Z to a-z; digits, a-z and the bytes of non-ASCII characters stay; all else separates words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -116,18 +116,13 @@ class Finder:
         return sorted(out.values(), key=lambda x: x["item_id"])
 
 
-_finders: dict = {}
-
-
 def finder(spark, items: list[tuple[int, str]], rate: float, least_chars: int):
     """A column function: text to the items found in it."""
     shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def find(texts: pd.Series) -> pd.Series:
-        if key not in _finders:
-            _finders.clear()
-            _finders[key] = Finder(shared.value, rate, least_chars)
-        return pd.Series([_finders[key].search(t) for t in texts], dtype=object)
+        search = held(key, lambda: Finder(shared.value, rate, least_chars)).search
+        return pd.Series([search(t) for t in texts], dtype=object)
 
     return F.pandas_udf(find, HITS)
 

@@ -24,9 +24,9 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, smallest_hashes
+from .common import crc_mod, held, smallest_hashes
 
-VOCABULARY, CHAIN, CACHE, LONG = 1 << 17, 256, 400_000, 40
+VOCABULARY, CHAIN, CACHE, LONG = 1 << 17, 256, 200_000, 40
 JUNK = regex.compile(r"\P{L}+")
 
 
@@ -286,19 +286,14 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     return fit([r["t"] for r in got], [r["y"] for r in got])
 
 
-_models: dict = {}
-
-
 def predictor(docs: DataFrame, model: Model):
     """A column function: text to (lang, score). The model holds VOCABULARY features at most (a few MB)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.names, model.weights, model.trans, model.start, model.lexicon))
     key = uuid.uuid4().hex
 
     def predict(texts: pd.Series) -> pd.DataFrame:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(*shared.value)
-        return pd.DataFrame(_models[key].predict(list(texts)), columns=["lang", "score"])
+        model = held(key, lambda: Model(*shared.value))
+        return pd.DataFrame(model.predict(list(texts)), columns=["lang", "score"])
 
     return F.pandas_udf(predict, "lang string, score double")
 
@@ -316,10 +311,8 @@ def language_spans(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", tex
     key = uuid.uuid4().hex
 
     def label(texts: pd.Series) -> pd.Series:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(*shared.value)
-        return pd.Series([[{"first": a, "end": b, "lang": x} for a, b, x in _models[key].spans(t)] for t in texts], dtype=object)
+        model = held(key, lambda: Model(*shared.value))
+        return pd.Series([[{"first": a, "end": b, "lang": x} for a, b, x in model.spans(t)] for t in texts], dtype=object)
 
     column = F.pandas_udf(label, "array<struct<first int, end int, lang string>>")
     return docs.select(F.col(doc_id).alias("doc_id"), column(F.col(text)).alias("spans"))

@@ -15,6 +15,8 @@ from collections import Counter
 import numpy as np
 import regex
 
+from .common import free_others
+
 #: The split pattern of byte-level BPE; a fixed value of the format.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Entries that a worker keeps of either cache; further ones are encoded each time they come.
@@ -152,6 +154,7 @@ def codec(path: str, kind: str) -> Codec:
     """This worker's codec; its caches outlive a task."""
     key = (path, kind)
     if key not in _codecs:
+        free_others()
         _codecs[key] = Codec(path, kind)
     return _codecs[key]
 

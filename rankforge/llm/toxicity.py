@@ -24,9 +24,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import crc_mod, smallest_hashes
+from .common import crc_mod, held, smallest_hashes
 
-VOCABULARY, DIM, WINDOW, CACHE = 1 << 17, 8, 2, 400_000
+VOCABULARY, DIM, WINDOW, CACHE = 1 << 17, 8, 2, 200_000
 #: Characters of a word that are judged at once, and how many of them the next piece of a longer word shares.
 LONG, SHARED = 40, 4
 JUNK = re.compile(r"[\W_]+")
@@ -164,19 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     return fit([r["t"] for r in got], [r["y"] for r in got])
 
 
-_models: dict = {}
-
-
 def scorer(docs: DataFrame, model: Model):
-    """A column function: text to score. The model (VOCABULARY n-grams at most, under 8 MB) is broadcast; word scores are cached by worker."""
+    """A column function: text to score. The model (VOCABULARY n-grams at most, under 8 MB) is broadcast; word scores are cached by worker, for the tasks of a stage."""
     shared = docs.sparkSession.sparkContext.broadcast((model.names, model.vectors, model.softmax, model.bias))
     key = uuid.uuid4().hex
 
     def score(texts: pd.Series) -> pd.Series:
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(*shared.value)
-        return pd.Series([_models[key].score(t) for t in texts], dtype=float)
+        model = held(key, lambda: Model(*shared.value))
+        return pd.Series([model.score(t) for t in texts], dtype=float)
 
     return F.pandas_udf(score, "double")
 
