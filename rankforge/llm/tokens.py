@@ -1,4 +1,4 @@
-"""Exact token ids by the tokenizers library, word by word through caches that live as long as the Python worker.
+"""Exact token ids by the tokenizers library, word by word through caches that a Python worker keeps for a stage's tasks.
 
 A byte-level BPE tokenizer merges only inside pre-tokens, and a space between two non-space characters always begins
 a pre-token. So texts are cut there, each distinct piece is cut by the tokenizer's own pattern, and each distinct
@@ -15,7 +15,7 @@ from collections import Counter
 import numpy as np
 import regex
 
-from .common import free_others
+from .common import held
 
 #: The split pattern of byte-level BPE; a fixed value of the format.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -147,25 +147,16 @@ class Pieces:
         return len(self.whole.encode(text, num_threads=1))
 
 
-_codecs: dict = {}
-
-
 def codec(path: str, kind: str) -> Codec:
-    """This worker's codec; its caches outlive a task."""
-    key = (path, kind)
-    if key not in _codecs:
-        free_others()
-        _codecs[key] = Codec(path, kind)
-    return _codecs[key]
+    """This worker's codec; its caches outlive a task and go with the stage."""
+    return held((path, kind), lambda: Codec(path, kind))
 
 
 def counter(path: str):
     """This worker's counter: a .json of the tokenizers library or a .model of sentencepiece."""
     if not path.endswith(".model"):
         return codec(path, "count")
-    if path not in _codecs:
-        _codecs[path] = Pieces(path)
-    return _codecs[path]
+    return held(path, lambda: Pieces(path))
 
 
 def frequent(texts, path: str, most: int) -> list[tuple[str, int]]:
