@@ -138,7 +138,7 @@ class Model:
                     self.known[tokens[i]] = row
         return np.array(beyond, np.float32) if beyond else None
 
-    def predict(self, texts: list[str | None], most: int = 300_000) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str | None], most: int = 100_000) -> list[tuple[str, float]]:
         if not self.langs:
             return [("und", 0.0)] * len(texts)
         out, held, size = [], [], 0
