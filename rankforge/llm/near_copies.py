@@ -86,6 +86,7 @@ def exact_links(texts: DataFrame, members: DataFrame, least: float, group_rows:
         placed = placed.withColumn("chunks", F.lit(None).cast("int"))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_others()
         for b in batches:
             h = [shingle_set(t).astype(np.uint32) for t in b.column("t").to_pylist()]  # 32 bits tell the shingles of two texts apart
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("node", "root", "chunks")), pa.array([np.unique(x).tobytes() for x in h], pa.binary())], ["node", "root", "chunks", "h"])
@@ -101,6 +102,7 @@ def exact_links(texts: DataFrame, members: DataFrame, least: float, group_rows:
     dealt = dealt.repartition(parts, *by).sortWithinPartitions(*by, "node")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_others()
         at, nodes, sets = None, [], []
 
         def done():
