@@ -75,11 +75,30 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(docs, train(docs))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data, train
+
+    docs = table(spark, sf_dir, "documents")
+    return personal_data(docs, train(docs))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import mine, shifted
+
+    return mine(shifted(table(spark, sf_dir, "embeddings")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import mine
+
+    return mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import urls
+    from . import hard_negatives, phrases, urls
 
-    return {"op3_url_filter": urls.SQL}
+    return {"op3_url_filter": urls.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_collocations": phrases.SQL}
