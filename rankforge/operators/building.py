@@ -35,26 +35,11 @@ def differential(annotated: DataFrame, supported: DataFrame, priority: DataFrame
     return got.select(sample, label, F.concat(F.array(label), F.transform("__x", lambda v: v["candidate"])).alias("candidates"))
 
 
-def strategy_report(entries: DataFrame, strategies: dict[str, Column], train: float, validation: float) -> DataFrame:
-    """For each way to group entries: its groups, entries a split (whole groups by hash), and the largest ratio error.
-
-    One pass: entries become counts by (strategy, group) before anything else meets.
-    """
-    each = F.array(*[F.struct(F.lit(k).alias("strategy"), c.cast("string").alias("g")) for k, c in strategies.items()])
-    groups = entries.select(F.explode(each).alias("s")).select("s.*").groupBy("strategy", "g").agg(F.count("*").alias("n"))
-    groups = groups.withColumn("split", hash_split(F.concat_ws("=", "strategy", F.coalesce("g", F.lit(""))), train, validation))
-    part = lambda s: F.coalesce(F.sum(F.when(F.col("split") == s, F.col("n"))), F.lit(0))
-    got = groups.groupBy("strategy").agg(F.count("*").alias("groups"), *[part(s).alias(s) for s in ("train", "val", "test")])
-    total = F.col("train") + F.col("val") + F.col("test")
-    errors = [F.abs(F.col(s) / total - w) for s, w in (("train", train), ("val", validation), ("test", 1 - train - validation))]
-    return got.withColumn("error", F.greatest(*errors))
-
-
 def choose_strategy(report: DataFrame, least_groups: int = 8, most_error: float = 0.18) -> DataFrame:
-    """The strategy of the smallest error (then most groups, then name) among the viable ones, else among those with
+    """The strategy of the smallest score (then error, most groups, name) among the viable ones, else among those with
     rows in every split, else among all. The report has one row a strategy."""
     full = (F.col("train") > 0) & (F.col("val") > 0) & (F.col("test") > 0)
     mode = F.when(full & (F.col("groups") >= least_groups) & (F.col("error") <= most_error), 0).when(full, 1).otherwise(2)
-    key = F.struct(mode.alias("mode"), F.round("error", 9).alias("error"), (-F.col("groups")).alias("few"), "strategy")
+    key = F.struct(mode.alias("mode"), F.round("score", 9).alias("score"), F.round("error", 9).alias("error"), (-F.col("groups")).alias("few"), "strategy")
     best = report.agg(F.min(key).alias("k"))
     return best.where("k is not null").select("k.strategy", F.element_at(F.array(*map(F.lit, ("viable", "nonempty", "any"))), F.col("k.mode") + 1).alias("mode"), (-F.col("k.few")).alias("groups"))

@@ -80,7 +80,9 @@ def grouped_split(groups: DataFrame, group: str, size: str, train: float, valida
     One rule at any number of groups: the driver sees only the histogram of sizes (under sqrt(2 x rows) of them), and a
     group finds its split by its place in the distributed order.
     """
-    spark, dtype = groups.sparkSession, dict(groups.dtypes)[group]
+    from rankforge.operators.grouping import places
+
+    spark = groups.sparkSession
     histogram = {r["n"]: r["c"] for r in groups.groupBy(F.col(size).alias("n")).agg(F.count("*").alias("c")).collect()}
     runs, by_size, before, at = deal(histogram, train, validation), {}, {}, 0
     for n, a, b, turn in runs:
@@ -88,9 +90,8 @@ def grouped_split(groups: DataFrame, group: str, size: str, train: float, valida
     for n in sorted(histogram, reverse=True):
         before[n], at = at, at + histogram[n]
     plan = spark.createDataFrame([(n, before[n], r) for n, r in by_size.items()], "n long, before long, runs array<struct<a: long, b: long, turn: array<string>>>")
-    order = groups.select(F.col(group).alias("g"), F.col(size).cast("long").alias("n")).orderBy(F.col("n").desc(), F.col("g").asc_nulls_last())
-    placed = spark.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])), f"g {dtype}, n long, place long")
-    placed = placed.join(F.broadcast(plan), "n").withColumn("rank", F.col("place") - F.col("before"))
+    placed = places(groups.select(F.col(group).alias("g"), F.col(size).cast("long").alias("n")), [F.col("n").desc(), F.col("g").asc_nulls_last()])
+    placed = placed.join(plan, "n").withColumn("rank", F.col("place") - F.col("before"))
     run = F.filter("runs", lambda r: (r["a"] <= F.col("rank")) & (F.col("rank") < r["b"]))[0]
     return placed.withColumn("run", run).select(F.col("g").cast("string").alias(group), F.expr("run.turn[cast((rank - run.a) % size(run.turn) as int)]").alias("split"))
 

@@ -50,29 +50,6 @@ def evidence_alignment(spark, d):
     return got.select("l_orderkey", F.bround(scores.evidence_alignment(F.col("s"), F.col("s2"), F.col("n"), F.col("n2")), 6).alias("alignment"), F.bround(scores.support_grounding(F.col("s2"), F.col("s"), F.lit("text")), 6).alias("grounding"))
 
 
-_SPLIT = "('0x' || substr(sha256(strategy || '=' || coalesce(g, '')), 1, 12))::bigint / 281474976710655.0"
-_REPORT = f"""e AS (SELECT unnest([{{'strategy': 'source', 'g': source}}, {{'strategy': 'lang', 'g': lang}}, {{'strategy': 'source_lang', 'g': concat_ws('/', source, lang)}}, {{'strategy': 'prefix', 'g': (doc_id // 10)::varchar}}]) AS s FROM documents),
-  g AS (SELECT s.strategy AS strategy, s.g AS g, count(*) AS n FROM e GROUP BY ALL), h AS (SELECT *, CASE WHEN {_SPLIT} < 0.8 THEN 'train' WHEN {_SPLIT} < 0.9 THEN 'val' ELSE 'test' END AS split FROM g),
-  r AS (SELECT strategy, count(*) AS groups, coalesce(sum(n) FILTER (split = 'train'), 0)::bigint AS train, coalesce(sum(n) FILTER (split = 'val'), 0)::bigint AS val, coalesce(sum(n) FILTER (split = 'test'), 0)::bigint AS test FROM h GROUP BY 1),
-  x AS (SELECT *, greatest(abs(train / (train + val + test) - 0.8), abs(val / (train + val + test) - 0.1), abs(test / (train + val + test) - 0.1)) AS error FROM r)"""
-
-
-def _report(spark, d):
-    ways = {"source": F.col("source"), "lang": F.col("lang"), "source_lang": F.concat_ws("/", "source", "lang"), "prefix": F.floor(F.col("doc_id") / 10)}
-    return building.strategy_report(t(spark, d, "documents"), ways, 0.8, 0.1)
-
-
-@query(f"WITH {_REPORT} SELECT strategy, groups, train, val, test, round_even(error, 6)::double AS error FROM x")
-def strategy_report(spark, d):
-    return _report(spark, d).withColumn("error", F.bround("error", 6))
-
-
-@query(f"""WITH {_REPORT}, y AS (SELECT *, CASE WHEN train > 0 AND val > 0 AND test > 0 THEN CASE WHEN groups >= 8 AND error <= 0.18 THEN 'viable' ELSE 'nonempty' END ELSE 'any' END AS mode FROM x)
-  SELECT strategy, mode, groups FROM y ORDER BY CASE mode WHEN 'viable' THEN 0 WHEN 'nonempty' THEN 1 ELSE 2 END, round(error, 9), groups DESC, strategy LIMIT 1""")
-def choose_strategy(spark, d):
-    return building.choose_strategy(_report(spark, d))
-
-
 _BUILT = f"""{_LISTS}, s AS (SELECT l_suppkey AS sample, p_type AS label, count(*) AS n, list(l_partkey ORDER BY r) AS items FROM lists JOIN part ON p_partkey = l_partkey WHERE p_size <= 25 GROUP BY ALL),
   gold AS (SELECT o.s_suppkey AS sample, p_type AS label FROM supplier o JOIN part ON p_partkey = s_suppkey), a AS (SELECT sample, label, items[1:5] AS evidence FROM s JOIN gold USING (sample, label) WHERE n >= 2),
   z AS (SELECT DISTINCT p_type, p_size FROM part), pr AS (SELECT x.p_type AS label, y.p_type AS candidate, -count(*) AS rank FROM z x JOIN z y USING (p_size) GROUP BY ALL),

@@ -103,12 +103,6 @@ def epoch_samples(spark, d):
     return got.withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("SELECT source, n, row_number() OVER (ORDER BY top DESC, n DESC, source) AS place FROM (SELECT source, sum(n)::bigint AS n, max(n) AS top FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY 1)")
-def group_order(spark, d):
-    g = t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("c")).groupBy("source").agg(F.sum("c").alias("n"), F.max("c").alias("top"))
-    return g.select("source", "n", F.row_number().over(W.orderBy(F.col("top").desc(), F.col("n").desc(), "source")).cast("long").alias("place"))
-
-
 @query("SELECT page_id, CASE WHEN contains(html, 'title>') THEN trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) END AS title, starts_with(html, '{') OR length(html) - length(replace(html, ' ', '')) < 12 AS malformed FROM pages")
 def page_fields(spark, d):
     words = F.length("html") - F.length(F.replace("html", F.lit(" "), F.lit("")))

@@ -164,25 +164,20 @@ def stratified_split(spark, d):
     return splitting.stratified_split(t(spark, d, "documents"), "doc_id", "lang", "7", 0.8, 0.1)
 
 
-def _grouped(spark, d):
+def _by_size(spark, d):
     groups = t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"))
     return splitting.grouped_split(groups, "source", "n", 0.8, 0.1)
 
 
-_GROUPED = """RECURSIVE g AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS k, sum(n) OVER () AS total FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)),
+_BY_SIZE = """RECURSIVE g AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS k, sum(n) OVER () AS total FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)),
  f AS (SELECT 0::bigint AS k, ''::varchar AS source, ''::varchar AS split, 0.0::double AS a, 0.0::double AS b, 0.0::double AS c
   UNION ALL SELECT g.k, g.source, s, a + CASE WHEN s = 'train' THEN n ELSE 0 END, b + CASE WHEN s = 'val' THEN n ELSE 0 END, c + CASE WHEN s = 'test' THEN n ELSE 0 END
   FROM (SELECT f.*, g.k AS gk, CASE WHEN total*0.8-a >= total*0.1-b AND total*0.8-a >= total*0.1-c THEN 'train' WHEN total*0.1-b >= total*0.1-c THEN 'val' ELSE 'test' END AS s FROM f JOIN g ON g.k = f.k + 1) f JOIN g ON g.k = f.gk)"""
 
 
-@query(f"WITH {_GROUPED} SELECT source, split FROM f WHERE k > 0")
-def grouped_split(spark, d):
-    return _grouped(spark, d)
-
-
-@query(f"WITH {_GROUPED} SELECT source, count(DISTINCT split) AS splits FROM documents JOIN f USING (source) GROUP BY 1 HAVING count(DISTINCT split) > 1")
-def split_leakage(spark, d):
-    return splitting.leaks(t(spark, d, "documents").select("doc_id", "source").join(_grouped(spark, d), "source"), "source")
+@query(f"WITH {_BY_SIZE} SELECT source, split FROM f WHERE k > 0")
+def size_split(spark, d):
+    return _by_size(spark, d)
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
@@ -407,4 +402,5 @@ _serial = iter(range(10**9))
 
 from rankforge.plans import more as _more  # noqa: E402, F401  registers further queries
 from rankforge.plans import building as _building  # noqa: E402, F401
+from rankforge.plans import grouping as _grouping  # noqa: E402, F401
 from rankforge.plans import parsing as _parsing, validation as _validation, reports as _reports, selection as _selection  # noqa: E402, F401

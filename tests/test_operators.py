@@ -89,11 +89,11 @@ def test_label_scores(spark):
 
 
 def test_choose_strategy(spark):
-    names = "strategy string, groups long, train long, val long, test long, error double"
+    names = "strategy string, groups long, train long, val long, test long, error double, score double"
     pick = lambda rows: [tuple(r) for r in building.choose_strategy(spark.createDataFrame(rows, names)).collect()]
-    assert pick([("a", 9, 8, 1, 1, 0.01), ("b", 20, 8, 1, 1, 0.01), ("c", 2, 8, 1, 1, 0.0)]) == [("b", "viable", 20)]
-    assert pick([("a", 3, 8, 1, 1, 0.1), ("b", 3, 10, 0, 0, 0.0)]) == [("a", "nonempty", 3)]
-    assert pick([("b", 1, 10, 0, 0, 0.2)]) == [("b", "any", 1)] and pick([]) == []
+    assert pick([("a", 9, 8, 1, 1, 0.01, 0.1), ("b", 20, 8, 1, 1, 0.01, 0.1), ("c", 2, 8, 1, 1, 0.0, 0.0)]) == [("b", "viable", 20)]
+    assert pick([("a", 3, 8, 1, 1, 0.1, 0.1), ("b", 3, 10, 0, 0, 0.0, 20.0)]) == [("a", "nonempty", 3)]
+    assert pick([("b", 1, 10, 0, 0, 0.2, 20.0)]) == [("b", "any", 1)] and pick([]) == []
 
 
 def test_neighbours_in_blocks(spark):
