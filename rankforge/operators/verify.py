@@ -30,52 +30,12 @@ def codes(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]))
 
 
-def evidence(claims: Column, observed: Column, sources: tuple[str, ...], generic: str) -> Column:
-    """Issues of evidence claims (value, verified, source, direction, approved: the label's items, null without a profile)."""
-    some = lambda test: F.exists(claims, test)
-    listed = lambda c: c["source"] == "marker_catalog"
-    return codes({
-        "missing": F.size(claims) == 0,
-        "unverified": some(lambda c: ~c["verified"]),
-        "source": some(lambda c: ~c["source"].isin(*sources)),
-        "unobserved": some(lambda c: ~F.array_contains(observed, c["value"])),
-        "generic": some(lambda c: c["value"].rlike(generic)),
-        "no_profile": some(lambda c: listed(c) & c["approved"].isNull()),
-        "not_approved": some(lambda c: listed(c) & c["approved"].isNotNull() & ~F.array_contains(c["approved"], c["value"])),
-        "direction": some(lambda c: listed(c) & (c["direction"] != "supports_gold")),
-        "duplicate": F.size(F.array_distinct(F.transform(claims, lambda c: c["value"]))) != F.size(claims),
-    })
-
-
 def detail_items(details: Column, key: str) -> Column:
     """The comma list under a key of 'k=v;k=v' details."""
     value = F.coalesce(F.try_element_at(F.str_to_map(details, F.lit(";"), F.lit("=")), F.lit(key)), F.lit(""))
     return F.filter(F.split(value, ","), lambda x: x != "")
 
 
-def exclusions(claims: Column, gold: Column, candidates: Column, observed: Column, differential: Column, reason: str) -> Column:
-    """Issues of exclusion claims (value, verified, source, direction, details, approved)."""
-    some = lambda test: F.exists(claims, test)
-    listed = lambda c: c["source"] == "marker_catalog"
-    told = lambda c: listed(c) & F.contains(c["details"], F.lit(f"reason={reason}"))
-    marks = lambda c: detail_items(c["details"], "candidate_markers")
-    return codes({
-        "few_candidates": differential & (F.size(candidates) < 2),
-        "gold_not_candidate": differential & ~F.array_contains(candidates, gold),
-        "unverified": some(lambda c: ~c["verified"]),
-        "gold_excluded": some(lambda c: c["value"] == gold),
-        "not_candidate": (F.size(candidates) > 0) & some(lambda c: ~F.array_contains(candidates, c["value"])),
-        "source": some(lambda c: ~c["source"].isin("candidate_set", "marker_catalog")),
-        "no_profile": some(lambda c: listed(c) & c["approved"].isNull()),
-        "direction": some(lambda c: listed(c) & (c["direction"] != "against_candidate")),
-        "no_reason": some(lambda c: listed(c) & ~F.contains(c["details"], F.lit(f"reason={reason}"))),
-        "no_markers": some(lambda c: told(c) & (F.size(marks(c)) == 0)),
-        "not_approved": some(lambda c: told(c) & c["approved"].isNotNull() & (F.size(F.array_except(marks(c), c["approved"])) > 0)),
-        "marker_observed": some(lambda c: told(c) & c["approved"].isNotNull() & F.arrays_overlap(marks(c), observed)),
-        "coverage": differential & (F.size(claims) != F.greatest(F.lit(0), F.size(candidates) - 1)),
-    })
-
-
 def context(claims: Column, metadata: Column, allowed: tuple[str, ...]) -> Column:
     """Issues of context claims (value, verified, source, key): later tests only where the earlier ones hold."""
     some = lambda test: F.exists(claims, test)
@@ -83,8 +43,8 @@ def context(claims: Column, metadata: Column, allowed: tuple[str, ...]) -> Colum
     known = lambda c: ours(c) & c["key"].isin(*allowed)
     given = lambda c: F.try_element_at(metadata, c["key"])
     return codes({
-        "unverified": some(lambda c: ~c["verified"]),
-        "source": some(lambda c: ~ours(c)),
+        "unverified": some(lambda c: ~F.coalesce(c["verified"], F.lit(False))),
+        "source": some(lambda c: ~F.coalesce(ours(c), F.lit(False))),
         "key": some(lambda c: ours(c) & ~c["key"].isin(*allowed)),
         "value": some(lambda c: known(c) & ~F.coalesce(c["value"] == F.concat_ws("=", c["key"], given(c)), F.lit(False)) | known(c) & given(c).isNull()),
     })

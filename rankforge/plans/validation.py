@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankforge.functions import parsing as ps, text as tx
-from rankforge.operators import verify
+from rankforge.operators import verifier, verify
 from rankforge.plans.registry import query, t
 
 _CODES = "SELECT k, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS issues FROM {} GROUP BY 1"
@@ -20,16 +20,19 @@ def _text(issues):
 
 
 def _claims(spark, d):
-    """Each order's lines as claims, with the approved items of the part's type; a type's profile is broadcast-sized."""
+    """Each order's lines as claims in long form, its observed items, and the profiles: items of small parts by type."""
     part = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size")
-    profiles = part.where("p_size <= 40 and p_type <> 'PROMO'").groupBy("p_type").agg(F.collect_list(F.concat(F.lit("P"), "l_partkey")).alias("approved"))
-    lines = t(spark, d, "lineitem").join(part, "l_partkey").join(profiles, "p_type", "left")
-    value = F.concat(F.lit("P"), "l_partkey")
+    profiles = part.where("p_size <= 40 and p_type <> 'PROMO'").select(F.col("p_type").alias("label"), F.concat(F.lit("P"), "l_partkey").alias("marker"), F.lit(True).alias("positive"))
+    lines = t(spark, d, "lineitem").join(part, "l_partkey").withColumn("value", F.concat(F.lit("P"), "l_partkey"))
     source = F.when(F.col("l_quantity") > 48, "guess").when(F.col("l_linestatus") == "O", "observed_gene").otherwise("marker_catalog")
-    claim = F.struct(value.alias("value"), (F.col("l_discount") <= 0.08).alias("verified"), source.alias("source"), F.col("l_returnflag").alias("flag"), "l_linenumber", "p_type", "approved")
-    got = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(claim).alias("claims"), F.collect_set(F.when(F.col("l_returnflag") != "A", value)).alias("genes"))
-    orders = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority", "o_orderstatus", "o_custkey")
-    return orders.join(got, "k", "left").withColumn("claims", F.coalesce("claims", F.array())).withColumn("genes", F.coalesce("genes", F.array()))
+    n = F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("n")
+    claims = lines.select(F.col("l_orderkey").alias("id"), n, "value", (F.col("l_discount") <= 0.08).alias("verified"), source.alias("source"), F.col("p_type").alias("matched"), F.col("l_returnflag").alias("flag"), F.lit("").alias("details"), F.lit("").alias("key"))
+    genes = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.when(F.col("l_returnflag") != "A", F.col("value"))).alias("genes"))
+    return claims, genes, profiles
+
+
+def _codes(issues):
+    return _text(F.array_distinct(F.transform(issues, lambda i: i["code"])))
 
 
 _KEYS = ("LABEL", "EVIDENCE", "EXCLUSIONS", "CONTEXT", "CONFIDENCE", "FINAL")
@@ -50,9 +53,11 @@ def verify_shape(spark, d):
        "UNION ALL SELECT k, 'not_approved' FROM c WHERE src = 'marker_catalog' AND NOT list_contains(m, v) UNION ALL SELECT k, 'direction' FROM c WHERE src = 'marker_catalog' AND flag = 'R' "
        "UNION ALL SELECT k, 'duplicate' FROM c GROUP BY k HAVING count(*) > count(DISTINCT v)) " + _CODES.format("i"))
 def verify_evidence(spark, d):
-    x = _claims(spark, d)
-    claims = F.transform("claims", lambda c: c.withField("direction", F.when(c["flag"] == "R", "against").otherwise("supports_gold")))
-    return x.select("k", _text(verify.evidence(claims, F.col("genes"), ("observed_gene", "marker_catalog"), "^P1[0-9]7$")))
+    claims, genes, profiles = _claims(spark, d)
+    claims = claims.withColumn("kind", F.lit("evidence")).withColumn("direction", F.when(F.col("flag") == "R", "against").otherwise("supports_gold"))
+    x = t(spark, d, "orders").select(F.col("o_orderkey").alias("id")).join(genes, "id", "left").join(verifier.looked_up(claims, profiles), "id", "left")
+    x = x.withColumn("claims", F.coalesce("claims", F.array().cast(dict(x.dtypes)["claims"]))).withColumn("genes", F.coalesce("genes", F.array().cast("array<string>")))
+    return x.select(F.col("id").alias("k"), _codes(verifier.evidence(F.col("claims"), F.col("genes"), "^P1[0-9]7$")))
 
 
 _EXCLUSIONS = f"""{_CLAIMS}, e AS (SELECT c.*, k % 2 = 0 AS diff, CASE k % 3 WHEN 0 THEN 'candidate_set' ELSE src END AS s, line % 3 <> 0 AS told, line % 4 <> 0 AS marked,
@@ -68,17 +73,16 @@ _EXCLUSIONS = f"""{_CLAIMS}, e AS (SELECT c.*, k % 2 = 0 AS diff, CASE k % 3 WHE
        "UNION ALL SELECT k, 'marker_observed' FROM e WHERE s = 'marker_catalog' AND told AND marked AND m IS NOT NULL AND list_contains(genes, v) UNION ALL SELECT k, 'coverage' FROM n WHERE diff AND n <> greatest(0, len(cand) - 1)) " + _CODES.format("i"))
 def verify_exclusions(spark, d):
     """An order's lines as exclusions of a differential question (even orders), their own item as the marker told."""
-    x = _claims(spark, d).where(F.size("claims") > 0)
-    k = F.col("k")
-    told = lambda c: F.when(c["l_linenumber"] % 3 != 0, F.lit("reason=missing_candidate_markers;")).otherwise(F.lit("note;"))
-    mark = lambda c: F.when(c["l_linenumber"] % 4 != 0, F.concat(F.lit("candidate_markers="), c["value"], F.lit(","))).otherwise(F.lit("candidate_markers="))
-    claims = F.transform("claims", lambda c: c.withField("source", F.when(k % 3 == 0, "candidate_set").otherwise(c["source"]))
-        .withField("direction", F.when(c["flag"] == "R", "supports").otherwise("against_candidate")).withField("details", F.concat(told(c), mark(c))))
-    values = F.array_distinct(F.transform("claims", lambda c: c["value"]))
-    gold = F.array(F.lit("gold"))
+    claims, genes, profiles = _claims(spark, d)
+    k, line = F.col("id"), F.col("n.l_linenumber")
+    told = F.when(line % 3 != 0, F.lit("reason=missing_candidate_markers;")).otherwise(F.lit("note;"))
+    mark = F.when(line % 4 != 0, F.concat(F.lit("candidate_markers="), "value", F.lit(","))).otherwise(F.lit("candidate_markers="))
+    claims = claims.withColumns({"kind": F.lit("exclusion"), "source": F.when(k % 3 == 0, "candidate_set").otherwise(F.col("source")), "direction": F.when(F.col("flag") == "R", "supports").otherwise("against_candidate"), "details": F.concat(told, mark)})
+    x = verifier.looked_up(claims, profiles).join(genes, "id")
+    values, gold = F.array_distinct(F.transform("claims", lambda c: c["value"])), F.array(F.lit("gold"))
     candidates = F.when(k % 5 == 0, gold).when(k % 7 == 1, values).otherwise(F.concat(values, gold))
-    issues = verify.exclusions(claims, F.lit("gold"), candidates, F.col("genes"), k % 2 == 0, "missing_candidate_markers")
-    return x.select("k", _text(issues))
+    issues = verifier.exclusions(F.col("claims"), F.lit("gold"), candidates, F.col("genes"), k % 2 == 0, "missing_candidate_markers")
+    return x.select(k.alias("k"), _codes(issues))
 
 
 _CONTEXT = """c AS (SELECT l_orderkey AS k, ['status', 'priority', 'secret', 'absent'][l_linenumber % 4 + 1] AS key, l_quantity > 48 AS other, l_discount <= 0.08 AS verified, l_tax > 0.07 AS wrong, o_orderstatus AS status, o_orderpriority AS priority
