@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 import zlib
 
 import numpy as np
@@ -14,7 +12,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-_own: dict[str, str] = {}
+from rankforge.sources.scratch import new_path
+
 _held: dict = {}
 
 
@@ -48,20 +47,12 @@ def held(key, make):
     return _held[key][1]
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where that is unset one of our own, on a single machine only."""
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if "dir" not in _own:
-        _own["dir"] = "file://" + tempfile.mkdtemp(prefix="spark-rankforge-")
-    return _own["dir"]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark)}/rankforge/{name}-{uuid.uuid4().hex}"
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or one with further underscores that no column has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -74,6 +65,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_files(docs: DataFrame) -> DataFrame:
+    """The frame itself if it is a plain scan of files, whose rows have a place; else a table written from it."""
+    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    return docs if plain and "_metadata" not in docs.columns else materialize(docs, "rows")
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm

@@ -4,22 +4,23 @@ Items and texts become lower-cased words joined by single spaces. An item of n c
 k = floor(rate * n) edits; cut into k + 1 pieces, one of them must occur exactly. One automaton finds all pieces in
 one pass over a text, their hits imply candidate places, and Myers' bit-parallel distance verifies those. Items under
 ``least_chars`` have no error budget and must stand as whole words. A worker holds one list of about ``most_items``
-items at a time; further ones take a further pass each, whose result is written before the next list is fetched.
+items at a time; further ones take a further pass each, which writes the hits it finds, without texts.
 
 Null and empty texts or items match nothing; an item id with several texts is found at most once a text, at its least
-distance; items without an id are left out, documents without one are judged like any others, repeated rows each; very
-long texts are searched whole; an empty table gives an empty result; further columns are kept by ``with_hits`` and not
-read, whatever their names.
+distance; items without an id are searched by their texts and found with a null id, each text; documents without an id
+are judged like any others, repeated rows each; very long texts are searched whole; an empty table gives an empty
+result; further columns are kept by ``with_hits`` and not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import held, materialize
+from .common import fresh, held, in_files, materialize
 
 #: A-Z to a-z; digits, a-z and the bytes of non-ASCII characters stay; all else separates words.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -31,8 +32,11 @@ def normal(text: str | None) -> str:
     return b" ".join((text or "").encode().translate(WORDS).split()).decode("latin-1")
 
 
-def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """The least edit distance of the pattern to any part of the text, and where that part first ends; None if over most."""
+def myers(pattern: str, text: str, most: int, anchored: bool = False) -> tuple[int, int] | None:
+    """The least edit distance of the pattern to any part of the text, and where that part first ends; None if over most.
+
+    ``anchored``: parts begin where the text does.
+    """
     m = len(pattern)
     peq: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -49,7 +53,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
             score += 1
         elif mh & high:
             score -= 1
-        ph = ph << 1 & full
+        ph = (ph << 1 | anchored) & full
         mh = mh << 1 & full
         pv = mh | ~(xv | ph) & full
         mv = ph & xv
@@ -59,7 +63,7 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
 
 
 class Finder:
-    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, least_chars: int):
         import ahocorasick
 
         self.items, seeds = [], {}
@@ -80,7 +84,7 @@ class Finder:
             self.machine.make_automaton()
 
     def search(self, text: str | None) -> list[dict]:
-        """For each item found: its least distance, and the first place (characters of the normal form) that has it."""
+        """For each item found: its least distance, and the first end that has it with the nearest start (characters of the normal form)."""
         t = normal(text)
         if self.machine is None or not t:
             return []
@@ -88,7 +92,7 @@ class Finder:
         for end, (size, places) in self.machine.iter(t):
             for i, offset in places:
                 near.setdefault(i, set()).add(end + 1 - size - offset)
-        out: dict[int, dict] = {}
+        out: dict[int | str, dict] = {}
         for i, starts in near.items():
             item_id, item, k, whole = self.items[i]
             best, done = None, None
@@ -104,19 +108,21 @@ class Finder:
                     found = (0, s + len(item), s)
                 elif (m := myers(item, t[a:b], k)) is None:
                     continue
-                else:
-                    found = (m[0], a + m[1], max(0, a + m[1] - len(item)))
+                else:  # back from the end: the shortest part of that distance
+                    back = myers(item[::-1], t[a : a + m[1]][::-1], m[0], anchored=True)
+                    found = (m[0], a + m[1], a + m[1] - back[1])
                 if best is None or found[0] < best[0]:
                     best = found
                     if not best[0]:
                         break
             if best:
                 hit = {"item_id": item_id, "distance": best[0], "start": best[2], "end": best[1]}
-                out[item_id] = min(out.get(item_id, hit), hit, key=lambda x: (x["distance"], x["start"]))
-        return sorted(out.values(), key=lambda x: x["item_id"])
+                key = item if item_id is None else item_id
+                out[key] = min(out.get(key, hit), hit, key=lambda x: (x["distance"], x["start"]))
+        return sorted(out.values(), key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["start"]))
 
 
-def finder(spark, items: list[tuple[int, str]], rate: float, least_chars: int):
+def finder(spark, items: list[tuple[int | None, str]], rate: float, least_chars: int):
     """A column function: text to the items found in it."""
     shared, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
@@ -128,17 +134,26 @@ def finder(spark, items: list[tuple[int, str]], rate: float, least_chars: int):
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, column: str, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = 0.06, least_chars: int = 40, most_items: int = 20_000) -> DataFrame:
-    """The rows with a column of the items found; one pass over the texts a list of items."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct()
+    """The rows with a column of the items found; one pass over the texts a list of items.
+
+    With several lists each pass writes (place of the row, hits) of the rows that have some, and rows fetch them once.
+    """
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null").distinct()
     lists = -(-items.count() // most_items) or 1
-    slot, now = F.pmod(F.xxhash64("i"), F.lit(lists)), docs
-    for k in range(lists):  # a list's items, most_items or little more, are all that the driver and a worker hold
-        got = sorted((r["i"], normal(r["t"])) for r in items.where(slot == k).collect())
-        found = finder(docs.sparkSession, got, rate, least_chars)(F.col(text))
-        now = now.withColumn(column, F.concat(column, found) if k else found)
-        if k < lists - 1:
-            now = materialize(now, "hits")
-    return now
+    slot = F.pmod(F.xxhash64(F.coalesce("i", F.xxhash64("t"))), F.lit(lists))  # an id's texts share a list
+
+    def found(k: int):  # a list's items, most_items or little more, are all that the driver and a worker hold
+        got = sorted(((r["i"], normal(r["t"])) for r in items.where(slot == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        return finder(docs.sparkSession, got, rate, least_chars)(F.col(text))
+
+    if lists == 1:
+        return docs.withColumn(column, found(0))
+    held, file, at = in_files(docs), fresh([*docs.columns, column], "file"), fresh([*docs.columns, column], "at")
+    place = [F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at)]
+    parts = [materialize(held.select(*place, found(k).alias("hits")).where("size(hits) > 0"), "hits") for k in range(lists)]
+    every = reduce(DataFrame.unionByName, parts).groupBy(file, at).agg(F.flatten(F.collect_list("hits")).alias(column))
+    got = held.select(*[c for c in docs.columns if c != column], *place).join(every, [file, at], "left")
+    return got.withColumn(column, F.coalesce(column, F.array().cast(HITS))).drop(file, at)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

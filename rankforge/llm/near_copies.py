@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drop_table, free_others, materialize
+from .common import drop_table, free_others, fresh, in_files, materialize
 from .simhash import bits_of, components, group_links
 
 BANDS, ROWS, RADIUS = 20, 4, 26
@@ -124,12 +124,6 @@ def exact_links(texts: DataFrame, members: DataFrame, least: float, group_rows:
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
-def in_files(docs: DataFrame) -> DataFrame:
-    """The frame itself if it is a plain scan of files, whose rows have a place; else a table written from it."""
-    plain = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
-    return docs if plain and "_metadata" not in docs.columns else materialize(docs, "rows")
-
-
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, group_rows: int = 20_000, group_shingles: int = 8_000_000) -> DataFrame:
     """One row of each component of near copies: that of the smallest id, rows without an id last.
 
@@ -139,7 +133,8 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lea
     an empty result; all columns are kept, whatever their names.
     """
     held = in_files(docs)
-    place = [F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")]
+    file, at = fresh(docs.columns, "file"), fresh(docs.columns, "at")
+    place = [F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(at)]
     texts = held.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
     texts = texts.select("id", "t", F.xxhash64("path").alias("file"), "at")
 
@@ -162,8 +157,8 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lea
     members = materialize(members, "members")
     found = components(exact_links(texts.select("file", "at", "t"), members, least, group_rows, group_shingles))
     rooted = sets.select("node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.file").alias("__file"), F.col("first.at").alias("__at"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.file").alias(file), F.col("first.at").alias(at))
     kept = materialize(kept, "kept")
     for done in (sets, members):
         drop_table(done)
-    return held.select("*", *place).join(kept.hint("shuffle_hash"), ["__file", "__at"], "left_semi").select(*docs.columns)
+    return held.select("*", *place).join(kept.hint("shuffle_hash"), [file, at], "left_semi").select(*docs.columns)

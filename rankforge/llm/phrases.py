@@ -27,7 +27,7 @@ from .common import materialize
 
 #: A-Z to a-z, tab to space, piece ends to a byte that UTF-8 never has.
 WORDS = bytes(255 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
-LONGEST, BLOCK, MOST, SLICE = 4, 1 << 16, 1 << 24, 2_000_000
+LONGEST, BLOCK, MOST, SLICE = 4, 1 << 16, 1 << 24, 1_000_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 

@@ -140,14 +140,14 @@ def candidates(t: str, tokens: list[tuple[int, int, str]]) -> Iterator[tuple[int
     for i, (a, _, kind) in enumerate(tokens):
         if kind not in "9a+(":
             continue
-        digits = letters = 0
+        digits = letters = groups = 0
         at = dot = named = False
         for j in range(i, min(i + LONGEST, n)):
             x, y, k = tokens[j]
             if y - a > REACH or j > i and (x - tokens[j - 1][1] > 2 or "\n" in t[tokens[j - 1][1] : x]):
                 break
             if k == "9":
-                digits += y - x
+                digits, groups = digits + y - x, groups + 1
             elif k == "a":
                 letters += 1
                 named |= at
@@ -160,7 +160,7 @@ def candidates(t: str, tokens: list[tuple[int, int, str]]) -> Iterator[tuple[int
                     break
             if letters and not at and k not in "9a._%+-([{<":
                 break
-            if kind in "9a" and named and dot and k in "9a" or kind != "a" and not letters and not at and k == "9" and digits >= 7:
+            if kind in "9a" and named and dot and k in "9a" or kind != "a" and not letters and not at and k == "9" and (digits >= 7 or groups >= 4):
                 yield i, j + 1
 
 
