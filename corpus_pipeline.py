@@ -12,32 +12,38 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankforge.llm import decontaminate, language_id, near_copies, packing, toxicity
-from rankforge.llm.common import materialize, table
+from rankforge.llm.common import fresh, materialize, table
 from rankforge.llm.queries import _tokenizer
 
 
 def identify_language(spark, docs, sf_dir):
+    """Keeps texts that have a language; null texts and those without a letter go, repeated rows are judged each."""
     model = language_id.train(docs)
     if not model.langs:  # no language could be learned: letters decide
         return docs.where(F.col("text").rlike("\\p{L}"))
-    found = language_id.predictor(docs, model)(F.col("text"))
-    return docs.withColumn("__found", found).where("__found.lang <> 'und'").drop("__found")
+    found = fresh(docs.columns, "found")
+    return docs.withColumn(found, language_id.predictor(docs, model)(F.col("text"))).where(F.col(found)["lang"] != "und").drop(found)
 
 
 def filter_toxicity(spark, docs, sf_dir):
-    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("__score", toxicity.scorer(docs, model)(F.col("text"))).where("__score < 0.5").drop("__score")
+    """Keeps scores under 0.5; null and empty texts have the score of no words, and without labels all score 0."""
+    model, score = toxicity.train(docs, table(spark, sf_dir, "labels")), fresh(docs.columns, "score")
+    return docs.withColumn(score, toxicity.scorer(docs, model)(F.col("text"))).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
+    """Keeps one row of each component of near copies, that of the smallest id (ties by place in the files, rows without an id last)."""
     return near_copies.keep_one(docs)
 
 
 def remove_benchmark(spark, docs, sf_dir):
-    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), "__hits").where("size(__hits) = 0").drop("__hits")
+    """Keeps texts in which no benchmark item is found, items without an id included; null texts hold none."""
+    hits = fresh(docs.columns, "hits")
+    return decontaminate.with_hits(docs, table(spark, sf_dir, "benchmark"), hits).where(F.size(hits) == 0).drop(hits)
 
 
 def pack_sequences(spark, docs, sf_dir):
+    """All documents' tokens in sequences, a row a piece; null and empty texts are one piece, the end id."""
     return packing.pack(docs, _tokenizer())
 
 
