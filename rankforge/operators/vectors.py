@@ -2,67 +2,72 @@
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 
-def neighbours(queries: DataFrame, base: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block_rows: int = 4096) -> DataFrame:
+def neighbours(queries: DataFrame, base: DataFrame, k: int, *, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", block_rows: int = 4096, base_rows: int = 50_000) -> DataFrame:
     """(q_id, q_label, id, label, cosine, rank): the k nearest of the base by cosine, the query's own id excluded, ties by id.
 
-    Queries of any number are streamed in blocks of ``block_rows``; the base meets one broadcast block at a time and
-    keeps k candidates a query and batch. Each block's best go to one table, so the driver never holds more than a block
-    and one partition of the queries, and no product of the tables is made.
+    Both sides are dealt into blocks by hash and each pair of blocks is one group of a task: its queries come first and
+    are held, base rows stream past in slices, and a slice gives k candidates a query, which a window merges. Nothing
+    passes through the driver. Vectors have one length; rows without an id or a vector take no part.
     """
     spark = queries.sparkSession
+    shape = lambda df: df.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("int").alias("label"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    q, x = shape(queries), shape(base)
+    q_blocks = max(1, -(-q.count() // block_rows))
+    x_blocks = max(spark.sparkContext.defaultParallelism, -(-x.count() // base_rows))
+    mine = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = q.select(mine(q_blocks).alias("a"), every(x_blocks).alias("b"), F.lit(0).alias("kind"), "*").unionByName(x.select(every(q_blocks).alias("a"), mine(x_blocks).alias("b"), F.lit(1).alias("kind"), "*"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), q_blocks * x_blocks)
+    near = dealt.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "kind").mapInArrow(_nearest(k), "q_id long, q_label int, id long, label int, cosine double")
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.col("cosine").desc(), "id"))
-    best = lambda x: x.withColumn("rank", rank).where(F.col("rank") <= k)
-    stream = queries.select(vec_id, vector, label).toLocalIterator()
-    rows, ahead, path = list(itertools.islice(stream, block_rows)), None, None
-    if not rows:
-        return spark.createDataFrame([], "q_id long, q_label int, id long, label int, cosine double, rank int")
-    while rows:
-        ahead = list(itertools.islice(stream, block_rows))
-        near, shared = _against(rows, base, k, vec_id, vector, label)
-        if not ahead and path is None:
-            return best(near)
-        from rankforge.sources.scratch import new_path
-
-        path = path or new_path(spark, "neighbours")
-        best(near).drop("rank").write.mode("append").parquet(path)
-        shared.destroy()
-        rows = ahead
-    return best(spark.read.schema("q_id long, q_label int, id long, label int, cosine double").parquet(path))
-
-
-def _against(rows: list, base: DataFrame, k: int, vec_id: str, vector: str, label: str) -> tuple:
-    """The k candidates of each base batch for one block of queries, and the block's broadcast."""
-    ids = np.array([r[0] for r in rows], np.int64)
-    labels = [r[2] for r in rows]
-    vectors = np.array([r[1] for r in rows], float)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-    shared = base.sparkSession.sparkContext.broadcast((ids, labels, vectors))
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q_ids, q_labels, q = shared.value
-        for b in batches:
-            x = np.array(b[vector].tolist(), float)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            order = np.argsort(b[vec_id].to_numpy(), kind="stable")
-            x, own, lab = x[order], b[vec_id].to_numpy()[order], b[label].to_numpy()[order]
-            for i in range(0, len(q), 1000):
-                sims = np.round(q[i : i + 1000] @ x.T, 9)
-                sims[q_ids[i : i + 1000, None] == own[None, :]] = -2
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                at = np.repeat(np.arange(len(best)), best.shape[1])
-                c = sims[at, best.ravel()]
-                out = pd.DataFrame({"q_id": q_ids[i + at], "q_label": [q_labels[i + j] for j in at], "id": own[best.ravel()], "label": lab[best.ravel()], "cosine": c})
-                yield out[out["cosine"] > -2]
-
-    return base.select(vec_id, vector, label).mapInPandas(work, "q_id long, q_label int, id long, label int, cosine double"), shared
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(k: int, most: int = 1000):
+    """For runs of a group's queries, then its base rows: the k candidates of each slice for each query."""
+
+    def unit(column: pa.Array) -> np.ndarray:
+        v = column.flatten().to_numpy().reshape(len(column), -1)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, ids, labels, q = None, [], None, None, None
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy() for c in ("a", "b", "kind")], 1)
+            cut = np.flatnonzero((np.diff(at, axis=0) != 0).any(1)) + 1
+            for i, j in zip([0, *cut], [*cut, len(at)], strict=True):
+                if i == j:
+                    continue
+                if tuple(at[i, :2]) != now:
+                    now, held, q = tuple(at[i, :2]), [], None
+                part = batch.slice(i, j - i)
+                if at[i, 2] == 0:
+                    held.append(part)
+                    continue
+                if not held:
+                    continue
+                if q is None:
+                    ids, labels = (pa.concat_arrays([p.column(c) for p in held]) for c in ("id", "label"))
+                    q, own = np.concatenate([unit(p.column("v")) for p in held]), ids.to_numpy()
+                part = part.take(pa.array(np.argsort(part.column("id").to_numpy(), kind="stable")))
+                x, names = unit(part.column("v")), part.column("id").to_numpy()
+                for s in range(0, len(q), most):
+                    sims = np.round(q[s : s + most] @ x.T, 9)
+                    sims[own[s : s + most, None] == names[None, :]] = -2
+                    best = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+                    row = np.repeat(np.arange(len(best)), best.shape[1])
+                    c = sims[row, best.ravel()]
+                    row, col, c = row[c > -2] + s, best.ravel()[c > -2], c[c > -2]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), labels.take(pa.array(row)), part.column("id").take(pa.array(col)), part.column("label").take(pa.array(col)), pa.array(c)], ["q_id", "q_label", "id", "label", "cosine"])
+
+    return work
 
 
 def recall_at(near: DataFrame, ks: tuple[int, ...]) -> DataFrame:
@@ -100,3 +105,15 @@ def contrastive_loss(df: DataFrame, batch: str, key: str, vector: str, temperatu
     mine = F.try_element_at(F.filter("s", lambda o: o["k"] == partner), F.lit(1))["s"]
     loss = F.log(F.aggregate("s", F.lit(0.0), lambda a, o: a + F.exp(o["s"]))) - mine
     return x.select(batch, loss.alias("loss")).groupBy(batch).agg(F.count("loss").alias("n"), F.avg("loss").alias("loss"))
+
+
+def kmeans(df: DataFrame, vector: str, k: int, starts: int = 10, seed: int = 0, rounds: int = 100) -> DataFrame:
+    """The rows with ``cluster``: Spark's k-means from several starts, the one of the least squared distances; an empty table stays so."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    x = df.withColumn("__v", array_to_vector(F.transform(vector, lambda v: v.cast("double"))))
+    if df.isEmpty():
+        return df.withColumn("cluster", F.lit(None).cast("int"))
+    fitted = [KMeans(k=k, seed=seed + i, maxIter=rounds, tol=1e-6, featuresCol="__v", predictionCol="cluster").fit(x) for i in range(starts)]
+    return min(fitted, key=lambda m: m.summary.trainingCost).transform(x).drop("__v")

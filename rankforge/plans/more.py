@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from rankforge.operators import evaluation, ranking
+from rankforge.operators import evaluation, ranking, vectors
 from rankforge.plans.registry import query, t
 
 _WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
@@ -109,24 +109,7 @@ def page_fields(spark, d):
     return t(spark, d, "pages").select("page_id", F.when(F.contains("html", F.lit("title>")), F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("title"), (F.startswith("html", F.lit("{")) | (words < 12)).alias("malformed"))
 
 
-@query()
-def tfidf_svd(spark, d):
-    """Spark ML: hashed TF-IDF with unit length, then principal components; rows only."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
-
-    stages = [RegexTokenizer(inputCol="text", outputCol="w", pattern="[^\\p{L}]+"), HashingTF(inputCol="w", outputCol="tf", numFeatures=256), IDF(inputCol="tf", outputCol="idf"), Normalizer(inputCol="idf", outputCol="unit"), PCA(inputCol="unit", outputCol="pc", k=8)]
-    x = t(spark, d, "documents").select("doc_id", "text")
-    from pyspark.ml.functions import vector_to_array
-
-    return Pipeline(stages=stages).fit(x).transform(x).select("doc_id", vector_to_array("pc").alias("components"))
-
-
 @query()
 def kmeans_labels(spark, d):
-    """Spark ML k-means over the embeddings; rows only."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    x = t(spark, d, "embeddings").select("vec_id", "label", array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"))
-    return KMeans(k=10, seed=7, maxIter=10).fit(x).transform(x).select("vec_id", "label", F.col("prediction").alias("cluster"))
+    """The embeddings in ten clusters, the best of ten starts."""
+    return vectors.kmeans(t(spark, d, "embeddings"), "embedding", 10, starts=10, seed=7).select("vec_id", "label", "cluster")

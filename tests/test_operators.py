@@ -105,9 +105,9 @@ def test_neighbours_in_blocks(spark):
     sims = np.round(unit @ unit.T, 9)
     np.fill_diagonal(sims, -2)
     expected = {i: sorted(range(60), key=lambda j: (-sims[i, j], j))[:4] for i in range(0, 60, 2)}
-    for block in (7, 30, 4096):
+    for block, size in ((7, 3), (30, 50_000), (4096, 9)):  # more pairs of blocks than tasks
         got = {}
-        for r in vectors.neighbours(base.where("vec_id % 2 = 0"), base, 4, block_rows=block).orderBy("q_id", "rank").collect():
+        for r in vectors.neighbours(base.where("vec_id % 2 = 0"), base, 4, block_rows=block, base_rows=size).orderBy("q_id", "rank").collect():
             got.setdefault(r["q_id"], []).append(r["id"])
         assert got == expected
     assert vectors.neighbours(base.where("vec_id < 0"), base, 4).count() == 0
