@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankforge.functions.text import choice, parse_field, strip
 
@@ -67,39 +67,70 @@ def marker_set(c: Column) -> Column:
     return F.array_distinct(F.transform(items(c, ",;"), F.upper))
 
 
-def without_label_sentence(c: Column, label: Column) -> Column:
-    """Without a last sentence that only says the label ('This is a X.', 'Label: X')."""
-    quoted = F.regexp_replace(label, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
-    pattern = F.concat(F.lit(r"(?i)\s*(?:this is (?:an? )?|the label is |label: |final: )"), quoted, F.lit(r"\.?\s*$"))
-    return F.regexp_replace(c, pattern, F.lit(""))
+def plain(c: Column) -> Column:
+    """Lower case, runs of white space as one space, none at the ends; null is empty."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), r"\s+", " "))
+
+
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def quoted(c: Column) -> Column:
+    """A value as a pattern of itself."""
+    return F.regexp_replace(c, r"([\\^$.|?*+()\[\]{}-])", r"\\$1")
+
+
+def without_label_sentence(c: Column, label: Column, openers: tuple[str, ...] = ("Therefore, this cell is", "Overall, this cell is")) -> Column:
+    """Without last sentences that only say the label after an opener, with or without an article, in any case.
+
+    Each opener is looked for once with and once without the article, in turn. Where text or label is null or empty the
+    text stays as it is.
+    """
+    out = c
+    for opener in openers:
+        for article in ("an? ", ""):
+            out = F.regexp_replace(out, F.concat(F.lit(rf"(?iu)\s*{opener} {article}"), quoted(label), F.lit(r"\.?$")), F.lit(""))
+    return F.when((c == "") | F.coalesce(label == "", F.lit(True)), c).otherwise(stripped(out))
 
 
 def without_lines(c: Column, prefixes: tuple[str, ...]) -> Column:
-    """Without the lines that start with one of the prefixes, whatever their case."""
-    keep = lambda x: ~reduce(lambda a, b: a | b, [F.startswith(F.lower(F.ltrim(x)), F.lit(p.lower())) for p in prefixes])
-    return F.array_join(F.filter(F.split(c, "\n"), keep), "\n")
+    """Without the lines that start with one of the prefixes (white space before them aside); white space at the ends goes."""
+    keep = lambda x: ~reduce(lambda a, b: a | b, [F.startswith(stripped(x), F.lit(p)) for p in prefixes])
+    return stripped(F.array_join(F.filter(F.split(c, r"\R"), keep), "\n"))
 
 
-def malformed(c: Column, least: int = 12) -> Column:
-    """Starts with a brace, holds a link, or has under ``least`` words."""
+def malformed(c: Column, marks: tuple[str, ...] = ("raw_gpt_output", "http://", "https://"), least: int = 12) -> Column:
+    """Null or empty, begins as an object or a list, holds one of the marks in any case, or has under ``least`` words."""
     words = F.size(F.filter(F.split(c, r"\s+"), lambda x: x != ""))
-    return F.startswith(F.ltrim(c), F.lit("{")) | F.lower(c).rlike(r"https?://|www\.") | (words < least)
+    marked = reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(m)) for m in marks])
+    return F.coalesce((c == "") | F.substring(c, 1, 1).isin("{", "[") | marked | (words < least), F.lit(True))
+
+
+#: What may stand before a label, one after another.
+INTRODUCTIONS = ("most likely identity:", "most likely cell identity:", "predicted label:")
 
 
-def canonical_label(c: Column, replacements: tuple[tuple[str, str], ...]) -> Column:
-    """Lower case without introductions, parentheses, '+', '/' and commas, after the replacements in their order."""
-    x = F.lower(F.coalesce(c, F.lit("")))
-    x = F.regexp_replace(x, r"^\s*(?:most likely (?:cell )?identity|predicted label):\s*", "")
-    x = F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\([^)]*\)", " "), r"\+", " positive "), r"[/,]+", " ")
-    for old, new in replacements:
-        x = F.regexp_replace(x, old, new)
-    return F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ ;:,.]+|[ ;:,.]+$", "")
+def canonical_label(c: Column, replacements: tuple[tuple[str, str], ...], introductions: tuple[str, ...] = INTRODUCTIONS) -> Column:
+    """A label in plain form: without introductions and parts in parentheses, signs as words or spaces, the caller's
+    replacements in their order, and no punctuation at its ends."""
+    table = [*((rf"^{x}\s*", "") for x in introductions), (r"\([^)]*\)", " "), (r"\+", " positive "), (r"[/,]", " "), *replacements, (r"\bcell type\b", "cell"), (r"\s+", " "), (r"^[ ;:,.]+|[ ;:,.]+$", "")]
+    return reduce(lambda x, pair: F.regexp_replace(x, *pair), table, plain(c))
 
 
 def label_candidates(c: Column, replacements: tuple[tuple[str, str], ...]) -> Column:
-    """The distinct canonical labels of a list by ';' or lines, each without a 'profile X:' before it."""
-    parts = F.transform(F.split(c, r"[;\n]"), lambda x: canonical_label(F.regexp_replace(x, r"(?i)^\s*profile [^:]+:", ""), replacements))
-    return F.array_distinct(F.filter(parts, lambda x: x != ""))
+    """The distinct canonical labels of a list by ';' or lines; of a text without any the text's own label.
+
+    Before a label may stand 'cell X:' or 'profile X:', then one word and a colon; after such a name only what follows
+    the next ': ' counts. What follows ' -- ' is a remark. A text that says 'not known' has none.
+    """
+    name, word = r"(?i)^\s*(?:cell|profile)\s+[a-z0-9]+\s*:", r"(?i)^\s*[a-z0-9]+\s*:\s*"
+    cut = lambda x: F.split(F.regexp_replace(F.regexp_replace(x, name + r"\s*", ""), word, ""), " -- ", 2)[0]
+    after = lambda x: F.when(x.rlike(name) & F.contains(cut(x), F.lit(": ")), F.try_element_at(F.split(cut(x), ": ", 2), F.lit(2))).otherwise(cut(x))
+    some = lambda xs: F.array_distinct(F.filter(xs, lambda x: x != ""))
+    found = some(F.transform(F.split(c, r"[;\n]"), lambda x: canonical_label(after(x), replacements)))
+    own = some(F.array(canonical_label(c, replacements)))
+    return F.when(F.coalesce(plain(c).isin(*UNKNOWN), F.lit(True)), F.array().cast("array<string>")).when(F.size(found) > 0, found).otherwise(own)
 
 
 def mentioned(text: Column, options: Column) -> Column:
@@ -108,20 +139,48 @@ def mentioned(text: Column, options: Column) -> Column:
 
 
 def first_mentioned(text: Column, options: Column) -> Column:
-    """The option whose first place in the text is the smallest; the earlier option on a tie."""
-    at = F.transform(options, lambda o, i: F.struct(F.instr(text, o).alias("at"), i.alias("i"), o.alias("o")))
+    """The option whose first place in the text is the smallest, both in plain form; the earlier option on a tie, empty ones never."""
+    x = plain(text)
+    at = F.transform(options, lambda o, i: F.struct(F.when(plain(o) != "", F.instr(x, plain(o))).otherwise(0).alias("at"), i.alias("i"), o.alias("o")))
     return F.try_element_at(F.array_sort(F.filter(at, lambda x: x["at"] > 0)), F.lit(1))["o"]
 
 
-def by_keyword(c: Column, classes: tuple[tuple[str, tuple[str, ...]], ...], otherwise: str) -> Column:
-    """The first class with a keyword in the text."""
-    x = F.lower(F.coalesce(c, F.lit("")))
-    out = F.lit(otherwise)
+def by_keyword(c: Column, classes: tuple[tuple[str, tuple[str, ...]], ...], otherwise: str, topic: str | None = None) -> Column:
+    """The first class with a keyword as a word of the plain text; texts that name the topic count parts of words too, and first."""
+    x, out = plain(c), F.lit(otherwise)
+    any_of = lambda test, words: reduce(lambda a, b: a | b, map(test, words))
     for name, words in reversed(classes):
-        out = F.when(reduce(lambda a, b: a | b, [F.contains(x, F.lit(w)) for w in words]), name).otherwise(out)
+        out = F.when(any_of(lambda w: F.contains(F.concat(F.lit(" "), x, F.lit(" ")), F.lit(f" {w} ")), words), name).otherwise(out)
+    for name, words in reversed(classes if topic else ()):
+        out = F.when(F.contains(x, F.lit(topic)) & any_of(lambda w: F.contains(x, F.lit(w)), words), name).otherwise(out)
     return out
 
 
+def unknown_paths(rows: DataFrame, key: str, value: str, words: tuple[str, ...] = ("unknown",)) -> DataFrame:
+    """(key, path): the paths of a variant column's strings that are one of the words, at any depth.
+
+    One exploding step a level, each from the nested values that the last one left, written until none is left; the
+    depth is that of the data, and no view stays in the session.
+    """
+    from rankforge.sources.scratch import new_path
+
+    spark, out, level = rows.sparkSession, None, rows.select(key, F.lit("$").alias("path"), F.col(value).alias("v"))
+    nested = lambda c: F.schema_of_variant(c).rlike("^(OBJECT|ARRAY)")
+    while True:
+        named = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos"), F.col("key").alias("name"), F.col("value").alias("inner")))
+        step = F.when(F.col("name").isNotNull(), F.concat(F.lit("."), "name")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        named = named.select(key, F.concat("path", step).alias("path"), F.col("inner").alias("v"))
+        text = F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string"))
+        path = new_path(spark, "level")
+        named.where(nested(F.col("v")) | F.lower(stripped(text)).isin(*words)).select(key, "path", F.to_json("v").alias("j")).write.parquet(path)
+        done = spark.read.schema(f"{key} {dict(rows.dtypes)[key]}, path string, j string").parquet(path).withColumn("v", F.parse_json("j"))
+        found = done.where(~nested(F.col("v"))).select(key, "path")
+        out = found if out is None else out.unionByName(found)
+        level = done.where(nested(F.col("v"))).select(key, "path", "v")
+        if level.isEmpty():
+            return out
+
+
 def prose(values: Column) -> Column:
     """'a', 'a and b', 'a, b and c'."""
     n = F.size(values)

@@ -64,47 +64,82 @@ def marker_sets(spark, d):
     return t(spark, d, "part").select("p_partkey", F.array_join(ps.marker_set(listed), ",").alias("markers"))
 
 
-@query("""SELECT p_partkey, 'Made for all. It holds.' AS text, CASE WHEN p_size % 2 = 0 THEN 'Keep this' || chr(10) || p_type ELSE 'Keep this' END AS kept,
-  p_size % 3 <> 0 AS malformed FROM part""")
+_SAID = """x AS (SELECT p_partkey, p_name, p_size, 'Made by ' || p_brand || ' for ' || p_type || chr(10) || 'It holds (so [far]).' || CASE p_size % 8 WHEN 0 THEN ' Therefore, this cell is a ' || p_name || '.' WHEN 1 THEN ' OVERALL, THIS CELL IS ' || upper(p_name)
+    WHEN 2 THEN ' Overall, this cell is an ' || p_name || '. therefore, this cell is ' || p_name || '.' WHEN 3 THEN ' This is a ' || p_name || '.' WHEN 4 THEN ' Therefore, this cell is a ' || p_name || '! ' WHEN 5 THEN ' Therefore, this cell is ' || p_type || '.' WHEN 6 THEN ' Therefore, this cell is ' || p_name || '. Overall, this cell is ' || p_name || '.' ELSE '' END AS said FROM part)"""
+
+
+@query(f"""WITH {_SAID}, y AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(said, '\\s*Therefore, this cell is an? ' || p_name || '\\.?$', '', 'i'), '\\s*Therefore, this cell is ' || p_name || '\\.?$', '', 'i'),
+    '\\s*Overall, this cell is an? ' || p_name || '\\.?$', '', 'i'), '\\s*Overall, this cell is ' || p_name || '\\.?$', '', 'i') AS cut FROM x)
+  SELECT p_partkey, trim(cut, ' ' || chr(10)) AS text FROM y""")
 def cleaned_answers(spark, d):
-    """Without its last label sentence, without evidence lines, and whether it looks malformed."""
-    said = F.concat(F.lit("Made for all. It holds. This is a "), "p_name", F.lit("."))
-    lines = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("Keep this\n  Supporting evidence: x\n"), "p_type")).otherwise(F.lit("Keep this\nEVIDENCE: y"))
-    words = F.when(F.col("p_size") % 3 == 0, F.lit("one two three four five six seven eight nine ten eleven twelve")).when(F.col("p_size") % 3 == 1, F.lit('{"a": 1}')).otherwise(F.lit("see www.x.org one two three four five six seven eight nine ten"))
-    return t(spark, d, "part").select("p_partkey", ps.without_label_sentence(said, F.col("p_name")).alias("text"), ps.without_lines(lines, ("supporting evidence", "evidence")).alias("kept"), ps.malformed(words).alias("malformed"))
+    """Texts of parts with several last sentences, some of which only say the name."""
+    name, n = F.col("p_name"), F.col("p_size") % 8
+    last = F.when(n == 0, F.concat(F.lit(" Therefore, this cell is a "), name, F.lit("."))).when(n == 1, F.concat(F.lit(" OVERALL, THIS CELL IS "), F.upper(name))).when(n == 2, F.concat(F.lit(" Overall, this cell is an "), name, F.lit(". therefore, this cell is "), name, F.lit(".")))
+    last = last.when(n == 3, F.concat(F.lit(" This is a "), name, F.lit("."))).when(n == 4, F.concat(F.lit(" Therefore, this cell is a "), name, F.lit("! "))).when(n == 5, F.concat(F.lit(" Therefore, this cell is "), "p_type", F.lit("."))).when(n == 6, F.concat(F.lit(" Therefore, this cell is "), name, F.lit(". Overall, this cell is "), name, F.lit("."))).otherwise(F.lit(""))
+    said = F.concat(F.lit("Made by "), "p_brand", F.lit(" for "), "p_type", F.lit("\nIt holds (so [far])."), last)
+    return t(spark, d, "part").select("p_partkey", ps.without_label_sentence(said, name).alias("text"))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE NOT contains(text, chr(13)))
+  SELECT doc_id, regexp_replace(regexp_replace(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT (starts_with(trim(l, ' ' || chr(9)), 'The') OR starts_with(trim(l, ' ' || chr(9)), 'La '))), ''), '^\\s+', ''), '\\s+$', '') AS kept FROM l GROUP BY 1""")
+def lines_without(spark, d):
+    """Documents without the lines that begin with one of two words."""
+    x = t(spark, d, "documents").where(~F.contains("text", F.lit("\r")))
+    return x.select("doc_id", ps.without_lines(F.col("text"), ("The", "La ")).alias("kept"))
+
+
+@query("""SELECT doc_id, coalesce(x = '' OR x[1] IN ('{', '[') OR contains(lower(x), 'http://') OR contains(lower(x), 'https://') OR contains(lower(x), 'raw_gpt_output') OR len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) < 12, true) AS malformed
+  FROM (SELECT doc_id, CASE WHEN source = 'src3' THEN NULL WHEN source = 'src5' THEN '[' || text WHEN source = 'src7' THEN text || ' RAW_GPT_output' ELSE text END AS x FROM documents)""")
+def malformed_texts(spark, d):
+    """Documents as answers: null ones, lists, raw output, links and short ones are malformed."""
+    x = F.when(F.col("source") == "src5", F.concat(F.lit("["), "text")).when(F.col("source") == "src7", F.concat("text", F.lit(" RAW_GPT_output"))).when(F.col("source") != "src3", F.col("text"))
+    return t(spark, d, "documents").select("doc_id", ps.malformed(x).alias("malformed"))
 
 
 _REWRITES = ((r"\bwidget\b", "gadget"), (r"\bgadget positive\b", "plus gadget"))
+_CANON = """trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower({0}), '\\s+', ' ', 'g')), '^most likely identity:\\s*', ''), '^most likely cell identity:\\s*', ''), '^predicted label:\\s*', ''),
+  '\\([^)]*\\)', ' ', 'g'), '\\+', ' positive ', 'g'), '[/,]', ' ', 'g'), '\\bwidget\\b', 'gadget', 'g'), '\\bgadget positive\\b', 'plus gadget', 'g'), '\\bcell type\\b', 'cell', 'g'), '\\s+', ' ', 'g'), ' ;:,.')"""
+_NAMED = """x AS (SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Predicted label: ' || upper(replace(p_name, ' ', '/')) || '+ (of one kind),' WHEN 2 THEN 'Cell A1: ' || p_name || ' -- as ' || p_type || '; profile b : kind: ' || p_type || ';; ' || p_name
+    WHEN 3 THEN 'b2: ' || p_name || chr(10) || 'B3 : ' || p_name || ' cell type' WHEN 4 THEN ' n/a ; ;' WHEN 5 THEN '(none)' WHEN 6 THEN 'Profile of A: ' || p_name || ';Most likely identity: Predicted label: ' || p_name WHEN 7 THEN 'cell 3:: ' || p_name || ': sub: ' || p_type ELSE p_name || ' --' || p_type || ' -- x -- y' END AS said FROM part)"""
 
 
-@query("""WITH p AS (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
-  n AS (SELECT p_partkey, CASE WHEN b = 'widget' THEN a || ' plus gadget' ELSE a || ' ' || b || ' positive' END AS label, a || ' ' || CASE b WHEN 'widget' THEN 'gadget' ELSE b END AS plain FROM p)
-  SELECT p_partkey, label, plain || CASE WHEN plain = label THEN '' ELSE '|' || label END AS candidates FROM n""")
+@query(f"""WITH {_NAMED}, p AS (SELECT p_partkey, i, s FROM (SELECT p_partkey, unnest(regexp_split_to_array(said, '[;\\n]')) AS s, generate_subscripts(regexp_split_to_array(said, '[;\\n]'), 1) AS i FROM x)),
+  c AS (SELECT *, string_split(regexp_replace(regexp_replace(s, '^\\s*(?:cell|profile)\\s+[a-z0-9]+\\s*:\\s*', '', 'i'), '^\\s*[a-z0-9]+\\s*:\\s*', '', 'i'), ' -- ')[1] AS cut, regexp_matches(s, '^\\s*(?:cell|profile)\\s+[a-z0-9]+\\s*:', 'i') AS named FROM p),
+  k AS (SELECT p_partkey, i, {_CANON.format("CASE WHEN named AND contains(cut, ': ') THEN substr(cut, strpos(cut, ': ') + 2) ELSE cut END")} AS v FROM c), f AS (SELECT p_partkey, v, min(i) AS i FROM k WHERE v <> '' GROUP BY ALL), g AS (SELECT p_partkey, string_agg(v, '|' ORDER BY i) AS vs FROM f GROUP BY 1)
+  SELECT p_partkey, {_CANON.format('said')} AS label, CASE WHEN trim(lower(said)) IN ('', 'unknown', 'n/a', 'none') THEN '' ELSE coalesce(vs, {_CANON.format('said')}) END AS candidates FROM x LEFT JOIN g USING (p_partkey)""")
 def canonical_labels(spark, d):
-    named = F.concat(F.lit("Predicted label: "), F.upper(F.replace("p_name", F.lit(" "), F.lit("/"))), F.lit("+ (of one kind),"))
-    listed = F.concat(F.lit("Profile A: "), "p_name", F.lit("; "), "p_name", F.lit(" .\n"), named)
-    return t(spark, d, "part").select("p_partkey", ps.canonical_label(named, _REWRITES).alias("label"), F.array_join(ps.label_candidates(listed, _REWRITES), "|").alias("candidates"))
+    """Labels and lists of labels with introductions, names of profiles, remarks and words for 'not known'."""
+    n, name, kind = F.col("p_size") % 9, F.col("p_name"), F.col("p_type")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = ("Unknown",), ("Predicted label: ", F.upper(F.replace(name, F.lit(" "), F.lit("/"))), "+ (of one kind),"), ("Cell A1: ", name, " -- as ", kind, "; profile b : kind: ", kind, ";; ", name), ("b2: ", name, "\nB3 : ", name, " cell type"), (" n/a ; ;",), ("(none)",), ("Profile of A: ", name, ";Most likely identity: Predicted label: ", name), ("cell 3:: ", name, ": sub: ", kind), (name, " --", kind, " -- x -- y")
+    said = F.coalesce(*[F.when(n == i, text(*f)) for i, f in enumerate(forms)])
+    return t(spark, d, "part").select("p_partkey", ps.canonical_label(said, _REWRITES).alias("label"), F.array_join(ps.label_candidates(said, _REWRITES), "|").alias("candidates"))
 
 
-_OPTIONS = ("idiot", "the", "und", "que", "der", "zz")
+_OPTIONS = ("idiot", "THE  of", "", "und", " Que", "der", "zz")
+_PLAIN = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
 
-@query(f"""WITH o AS (SELECT doc_id, i, o, strpos(lower(text), o) AS place FROM documents, (SELECT unnest({list(_OPTIONS)}) AS o, unnest(range({len(_OPTIONS)})) AS i))
-  SELECT doc_id, arg_min(o, place * 100 + i) FILTER (place > 0) AS first, coalesce(string_agg(o, ',' ORDER BY i) FILTER (place > 0), '') AS every FROM o GROUP BY 1""")
+@query(f"""WITH d AS (SELECT doc_id, lower(text) AS x, {_PLAIN.format('text')} AS p FROM documents), o AS (SELECT doc_id, i, o, strpos(x, o) AS held, CASE WHEN {_PLAIN.format('o')} <> '' THEN strpos(p, {_PLAIN.format('o')}) ELSE 0 END AS place FROM d, (SELECT unnest({list(_OPTIONS)}) AS o, unnest(range({len(_OPTIONS)})) AS i))
+  SELECT doc_id, arg_min(o, place * 100 + i) FILTER (place > 0) AS first, coalesce(string_agg(o, ',' ORDER BY i) FILTER (held > 0 AND o <> ''), '') AS every FROM o GROUP BY 1""")
 def options_in_text(spark, d):
+    """The option that a document names first, one of them empty, and all that it holds letter by letter."""
     options = F.array(*map(F.lit, _OPTIONS))
-    return t(spark, d, "documents").select("doc_id", ps.first_mentioned(F.lower("text"), options).alias("first"), F.array_join(ps.mentioned(F.lower("text"), options), ",").alias("every"))
+    some = F.filter(options, lambda o: o != "")
+    return t(spark, d, "documents").select("doc_id", ps.first_mentioned(F.col("text"), options).alias("first"), F.array_join(ps.mentioned(F.lower("text"), some), ",").alias("every"))
 
 
-_CONFIDENCE = (("low", ("idiot", "scum")), ("high", ("license", "und")), ("moderate", ("the",)))
+_CONFIDENCE = (("low", ("idiot", "der")), ("moderate", ("license", "und")), ("high", ("the", "que")))
+_WORD = lambda w: f"contains(' ' || p || ' ', ' {w} ')"
+_PART = lambda w: f"contains(p, '{w}')"
 
 
-@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'idiot') OR contains(lower(text), 'scum') THEN 'low' WHEN contains(lower(text), 'license') OR contains(lower(text), 'und') THEN 'high'
-  WHEN contains(lower(text), 'the') THEN 'moderate' ELSE 'none' END AS confidence, regexp_matches(lower(text), '\\b(the|la) [a-z]+ of\\b|email') AND source <> 'src1' AS unfair FROM documents""")
+@query(f"""SELECT doc_id, CASE {' '.join(f"WHEN contains(p, 'email') AND ({' OR '.join(map(_PART, ws))}) THEN '{k}'" for k, ws in _CONFIDENCE)} {' '.join(f"WHEN {' OR '.join(map(_WORD, ws))} THEN '{k}'" for k, ws in _CONFIDENCE)} ELSE '' END AS confidence,
+  regexp_matches(lower(text), '\\b(the|la) [a-z]+ of\\b|email') AND source <> 'src1' AS unfair FROM (SELECT *, {_PLAIN.format('text')} AS p FROM documents)""")
 def text_classes(spark, d):
-    """A keyword class, and a guard of forbidden patterns with one source exempt."""
+    """A keyword class, parts of words only where the topic is named, and a guard of forbidden patterns with one source exempt."""
     unfair = F.lower("text").rlike(r"\b(the|la) [a-z]+ of\b|email") & (F.col("source") != "src1")
-    return t(spark, d, "documents").select("doc_id", ps.by_keyword(F.col("text"), _CONFIDENCE, "none").alias("confidence"), unfair.alias("unfair"))
+    return t(spark, d, "documents").select("doc_id", ps.by_keyword(F.col("text"), _CONFIDENCE, "", topic="email").alias("confidence"), unfair.alias("unfair"))
 
 
 @query(f"""WITH {_LISTS}, x AS (SELECT l_suppkey, list('P' || l_partkey ORDER BY r) FILTER (r <= l_suppkey % 4) AS p, ('0x' || substr(sha1(l_suppkey::varchar), 1, 8))::bigint % 3 AS k FROM lists GROUP BY 1),
@@ -138,19 +173,17 @@ def json_payloads(spark, d):
     return t(spark, d, "events").select("event_id", m.alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.size("m").alias("known"))
 
 
-@query("""SELECT doc_id, '$.a.lang' AS path FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '$.b[1]' FROM documents WHERE doc_id % 3 = 0
-  UNION ALL SELECT doc_id, '$.c' FROM documents WHERE doc_id % 5 = 0""")
+@query("""SELECT doc_id, '$.a.lang' AS path FROM documents WHERE lang = 'fr' UNION ALL SELECT doc_id, '$.b[1]' FROM documents WHERE source = 'src1' UNION ALL SELECT doc_id, '$.c' FROM documents WHERE n_chars < 500
+  UNION ALL SELECT doc_id, '$.a.deep[0].x.y[2]' FROM documents WHERE lang = 'de' AND n_chars > 1000 UNION ALL SELECT doc_id, '$.a.deep[0].x.y[0].z' FROM documents WHERE lang = 'es'""")
 def unknown_paths(spark, d):
-    """The paths of a nested object whose value is 'unknown': one exploding step a level, to a fixed depth."""
-    say = lambda n, c: F.when(F.col("doc_id") % n == 0, "Unknown").otherwise(c)
-    doc = F.struct(F.struct(say(2, F.col("lang")).alias("lang"), F.lit(1).alias("n")).alias("a"), F.array(F.lit("x"), say(3, F.col("source"))).alias("b"), say(5, F.lit("y")).alias("c"))
-    t(spark, d, "documents").select("doc_id", F.parse_json(F.to_json(doc)).alias("v")).createOrReplaceTempView("nested_answers")
-    step = "CASE WHEN {e}.key IS NOT NULL THEN '.' || {e}.key ELSE '[' || {e}.pos || ']' END"
-    return spark.sql(f"""
-      WITH one AS (SELECT doc_id, '$' || {step.format(e='e')} AS path, e.value AS v FROM nested_answers, LATERAL variant_explode(v) AS e),
-      two AS (SELECT doc_id, path || {step.format(e='e')} AS path, e.value AS v FROM one, LATERAL variant_explode(v) AS e)
-      SELECT doc_id, path FROM (SELECT * FROM one UNION ALL SELECT * FROM two)
-      WHERE schema_of_variant(v) = 'STRING' AND lower(try_variant_get(v, '$', 'string')) = 'unknown'""")
+    """The paths of a nested object whose value is 'unknown', from the first level to the sixth."""
+    say = lambda when, c: F.when(when, " Unknown ").otherwise(c)
+    lang, size = F.col("lang"), F.col("n_chars")
+    deep = F.array(F.struct(F.struct(F.array(F.struct(say(lang == "es", lang).alias("z")).cast("struct<z: string>"), F.struct(F.lit("known").alias("z"))).alias("y")).alias("x")))
+    doc = F.struct(F.struct(say(lang == "fr", lang).alias("lang"), F.lit(1).alias("n"), deep.alias("deep")).alias("a"), F.array(F.lit("x"), say(F.col("source") == "src1", F.col("source"))).alias("b"), say(size < 500, F.lit("y")).alias("c"))
+    text = F.to_json(doc)
+    text = F.when((lang == "de") & (size > 1000), F.regexp_replace(text, r'\{"z":"known"\}', '{"z":"known"},"UNKNOWN"')).otherwise(text)
+    return ps.unknown_paths(t(spark, d, "documents").select("doc_id", F.parse_json(text).alias("v")), "doc_id", "v")
 
 
 @query(f"WITH {_ORDERS} SELECT a.k, coalesce(a.kept, []) = coalesce(b.kept, []) AS same FROM x a JOIN x b ON b.k = a.k + 1")
