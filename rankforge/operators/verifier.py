@@ -216,3 +216,38 @@ def report(results: DataFrame) -> DataFrame:
     whole = counts.selectExpr("task", "'' as field", "stack(2, 'rows', rows, 'passed', passed) as (code, n)")
     found = results.select("task", F.explode("issues").alias("i")).groupBy("task", "i.field", "i.code").agg(F.count("*").alias("n"))
     return whole.unionByName(found)
+
+
+def sample_issues(samples: DataFrame, experts: DataFrame, families: dict[str, str]) -> DataFrame:
+    """id, n, family and issues of samples of every family.
+
+    ``samples``: n (their order), id, family, candidates, oracles, genes, support, abstain, profiles and profile_support
+    (maps from a profile's name to items), combined. ``experts`` (expert) are the known ones, looked up by equality.
+    ``families`` names those with rules of their own: ``cross`` needs two candidates, ``ood`` no oracles and an
+    abstention, ``bundle`` two profiles, each one's support among its items, and combined items among any profile's. Of
+    rows with one id all but the first are repeats. Null lists and maps are empty, a null flag is no abstention.
+    """
+    none, empty = F.array().cast("array<string>"), F.create_map().cast("map<string, array<string>>")
+    x = samples.withColumns({c: F.coalesce(c, none) for c in ("candidates", "oracles", "genes", "support", "combined")} | {c: F.coalesce(c, empty) for c in ("profiles", "profile_support")})
+    first = x.groupBy("id").agg(F.min("n").alias("first"))
+    known = experts.select("expert", F.lit(True).alias("known")).distinct()
+    strange = x.select("n", F.explode("candidates").alias("expert")).join(known, "expert", "left").where("known is null").groupBy("n").agg(F.array_sort(F.collect_set("expert")).alias("strange"))
+    x = x.join(first, "id", "left").join(strange, "n", "left")
+    named = lambda code, values, say=lambda v: v: F.transform(values, lambda v: _issue("sample", code, say(v)))
+    is_of = lambda k: F.col("family") == families[k]
+    within = lambda when, issues: F.when(sure(when), issues.cast(ISSUES)).otherwise(F.array().cast(ISSUES))
+    items = F.flatten(F.map_values("profiles"))
+    astray = F.flatten(F.transform(F.map_entries("profile_support"), lambda e: F.transform(F.filter(e["value"], lambda v: ~F.array_contains(F.coalesce(F.try_element_at(F.col("profiles"), e["key"]), none), v)), lambda v: F.concat_ws(":", e["key"], v))))
+    issues = joined(
+        one("sample", "duplicate_id", F.col("n") > F.col("first"), F.col("id")),
+        named("unknown_expert", F.coalesce("strange", none)),
+        named("oracle_not_candidate", F.array_except("oracles", "candidates")),
+        named("support_not_given", F.filter("support", lambda v: ~F.array_contains("genes", v))),
+        one("sample", "few_candidates", is_of("cross") & (F.size("candidates") < 2)),
+        one("sample", "oracle_of_none", is_of("ood") & (F.size("oracles") > 0)),
+        one("sample", "no_abstention", is_of("ood") & ~sure(F.col("abstain"))),
+        one("sample", "few_profiles", is_of("bundle") & (F.size("profiles") < 2)),
+        within(is_of("bundle"), named("profile_support_not_given", astray)),
+        within(is_of("bundle"), named("combined_not_given", F.filter("combined", lambda v: ~F.array_contains(items, v)))),
+    )
+    return x.select("id", "n", "family", issues.alias("issues"))

@@ -112,3 +112,34 @@ def verify_examples(spark, d):
 def verify_examples_report(spark, d):
     """Issues by task, field and code."""
     return verifier.report(_results(spark, d))
+
+
+_FAMILIES = {"cross": "cross_expert", "ood": "out_of_domain", "bundle": "profile_bundle"}
+
+
+@query("""WITH ln AS (SELECT l_orderkey AS k, l_suppkey::VARCHAR AS s, 'P' || l_partkey AS v, l_returnflag AS flag, l_linestatus AS st, l_quantity AS q, CASE WHEN l_linenumber <= 2 THEN 'A' WHEN l_linenumber <= 4 THEN 'B' ELSE 'C' END AS p FROM lineitem),
+  o AS (SELECT o_orderkey AS k, 's' || o_custkey || '-' || o_orderkey % 4 AS id, o_orderstatus AS status, CASE o_orderpriority WHEN '2-HIGH' THEN 'cross_expert' WHEN '3-MEDIUM' THEN 'out_of_domain' WHEN '4-NOT SPECIFIED' THEN 'profile_bundle' ELSE 'single' END AS family FROM orders),
+  ca AS (SELECT DISTINCT k, s FROM ln WHERE q > 10), ora AS (SELECT DISTINCT k, s FROM ln WHERE flag = 'R' UNION SELECT k, 'x' FROM o WHERE status = 'P' AND family = 'single'), ge AS (SELECT DISTINCT k, v FROM ln WHERE st = 'O'), su AS (SELECT DISTINCT k, v FROM ln WHERE flag = 'N'),
+  pr AS (SELECT DISTINCT k, p, v FROM ln WHERE flag <> 'A'), ps AS (SELECT DISTINCT k, p, v FROM ln WHERE st = 'O'), co AS (SELECT DISTINCT k, v FROM ln WHERE q > 25),
+  i AS (SELECT k, 'duplicate_id' AS code, id AS value FROM o QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) > 1 UNION ALL SELECT k, 'unknown_expert', s FROM ca ANTI JOIN (SELECT s_suppkey::VARCHAR AS s FROM supplier WHERE s_acctbal > 0) USING (s)
+    UNION ALL SELECT k, 'oracle_not_candidate', s FROM ora ANTI JOIN ca USING (k, s)
+    UNION ALL SELECT k, 'support_not_given', v FROM su ANTI JOIN ge USING (k, v) UNION ALL SELECT k, 'few_candidates', '' FROM o WHERE family = 'cross_expert' AND (SELECT count(*) FROM ca WHERE ca.k = o.k) < 2
+    UNION ALL SELECT DISTINCT k, 'oracle_of_none', '' FROM o JOIN ora USING (k) WHERE family = 'out_of_domain' UNION ALL SELECT k, 'no_abstention', '' FROM o WHERE family = 'out_of_domain' AND status <> 'F'
+    UNION ALL SELECT k, 'few_profiles', '' FROM o WHERE family = 'profile_bundle' AND (SELECT count(DISTINCT p) FROM pr WHERE pr.k = o.k) < 2
+    UNION ALL SELECT k, 'profile_support_not_given', p || ':' || v FROM o JOIN (SELECT * FROM ps ANTI JOIN pr USING (k, p, v)) USING (k) WHERE family = 'profile_bundle' UNION ALL SELECT k, 'combined_not_given', v FROM o JOIN (SELECT * FROM co ANTI JOIN pr USING (k, v)) USING (k) WHERE family = 'profile_bundle')
+  SELECT o.k AS k, family, coalesce(string_agg(code || '|' || value, chr(10) ORDER BY code || '|' || value), '') AS issues FROM o LEFT JOIN i ON i.k = o.k GROUP BY ALL""")
+def sample_rules(spark, d):
+    """Orders as samples of four families, with every rule of each family."""
+    l, part = t(spark, d, "lineitem"), F.concat(F.lit("P"), F.col("l_partkey"))
+    some = lambda when, v: F.collect_set(F.when(when, v))
+    profile = F.when(F.col("l_linenumber") <= 2, "A").when(F.col("l_linenumber") <= 4, "B").otherwise("C")
+    kept, open_ = F.col("l_returnflag") != "A", F.col("l_linestatus") == "O"
+    held = {f"{n}{p}": some((profile == p) & c, part).alias(f"{n}{p}") for n, c in (("p", kept), ("s", open_)) for p in "ABC"}
+    x = l.groupBy(F.col("l_orderkey").alias("n")).agg(some(F.col("l_quantity") > 10, F.col("l_suppkey").cast("string")).alias("candidates"), some(F.col("l_returnflag") == "R", F.col("l_suppkey").cast("string")).alias("back"), some(open_, part).alias("genes"), some(F.col("l_returnflag") == "N", part).alias("support"), some(F.col("l_quantity") > 25, part).alias("combined"), *held.values())
+    family = F.when(F.col("o_orderpriority") == "2-HIGH", "cross_expert").when(F.col("o_orderpriority") == "3-MEDIUM", "out_of_domain").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "profile_bundle").otherwise("single")
+    o = t(spark, d, "orders").select(F.col("o_orderkey").alias("n"), F.concat(F.lit("s"), "o_custkey", F.lit("-"), F.col("o_orderkey") % 4).alias("id"), family.alias("family"), "o_orderstatus").join(x, "n", "left")
+    by_name = lambda n: F.map_filter(F.create_map(*[y for p in "ABC" for y in (F.lit(p), F.col(f"{n}{p}"))]), lambda _, v: F.size(v) > 0)
+    more = F.when((F.col("o_orderstatus") == "P") & (F.col("family") == "single"), F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
+    samples = o.withColumns({"oracles": F.concat(F.coalesce("back", F.array().cast("array<string>")), more), "abstain": F.col("o_orderstatus") == "F", "profiles": by_name("p"), "profile_support": by_name("s")})
+    found = verifier.sample_issues(samples, t(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("expert")), _FAMILIES)
+    return found.select(F.col("n").alias("k"), "family", F.array_join(F.array_sort(F.transform("issues", lambda i: F.concat_ws("|", i["code"], i["value"]))), "\n").alias("issues"))
