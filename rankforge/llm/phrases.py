@@ -228,7 +228,7 @@ def mine(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count:
     dealt = kept.withColumn("slot", F.pmod(F.xxhash64("phrase"), F.lit(64)))  # a language's best of 64 slots meet, no more
     dealt = dealt.withColumn("rank", F.row_number().over(W.partitionBy("lang", "slot").orderBy(*order))).where(F.col("rank") <= top)
     ranked = dealt.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
-    return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 SQL = """
@@ -249,5 +249,5 @@ inside AS (
   SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer
   FROM (SELECT lang, f, w, m, unnest(range(1, words - m + 2)) AS i FROM (SELECT lang, f, words, string_split(phrase, ' ') AS w, unnest(range(2, words)) AS m FROM grams WHERE words > 2)) GROUP BY ALL),
 kept AS (SELECT b.* FROM best b LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR longer::HUGEINT * 100 < a::HUGEINT * 80)
-SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(phrase))::INTEGER AS rank, phrase, a, l, r, n, score::BIGINT AS score
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM kept k JOIN sizes USING (lang) QUALIFY rank <= 2000"""
