@@ -402,5 +402,5 @@ _serial = iter(range(10**9))
 
 from rankforge.plans import more as _more  # noqa: E402, F401  registers further queries
 from rankforge.plans import building as _building  # noqa: E402, F401
-from rankforge.plans import books as _books, factors as _factors, grouping as _grouping, sampling as _sampling, splits as _splits, verifier as _verifier  # noqa: E402, F401
+from rankforge.plans import books as _books, factors as _factors, generations as _generations, grouping as _grouping, sampling as _sampling, splits as _splits, verifier as _verifier  # noqa: E402, F401
 from rankforge.plans import parsing as _parsing, validation as _validation, reports as _reports, selection as _selection  # noqa: E402, F401
