@@ -316,7 +316,9 @@ def test_decontamination_against_all_windows(spark, docs, none):
     made = spark.createDataFrame(rows, "doc_id long, text string")
     for most in (20_000, 2):
         assert {(h.doc_id, h.item_id) for h in decontaminate.decontaminate(made, bench, most_items=most).collect()} == want
-    assert decontaminate.decontaminate(docs, bench).count() == 0 == decontaminate.decontaminate(none, bench).count()
+    named = bench.where("item_id is not null")
+    assert decontaminate.decontaminate(docs, named).count() == 0 == decontaminate.decontaminate(none, bench).count()
+    assert {h.item_id for h in decontaminate.decontaminate(docs, bench).collect()} == {None}  # an item without an id is searched too
     assert decontaminate.decontaminate(made, bench.limit(0)).count() == 0
 
 
