@@ -92,8 +92,7 @@ def pieces(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
         c, end, size = tokens.codec(path, "bytes"), end_id.to_bytes(4, "little"), 4 * max_tokens
         for b in batches:
             of, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(b.column("t").to_pylist()):
-                ids = c.text(t) + end
+            for i, ids in enumerate(c.each(b.column("t").cast(pa.binary()).to_pylist(), end)):
                 first = len(ids) % size or size
                 cuts = [0, *range(first, len(ids) + 1, size)]
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):

@@ -57,6 +57,36 @@ def test_codec_equals_library(whole):
         assert np.frombuffer(codec.text(t), "<u4").tolist() == ids_of(whole, t), repr(t)
 
 
+def test_codec_slices_equal_library(whole, monkeypatch):
+    """Texts encoded together, each pre-token by the model once; also with hardly any room in the cache and in a slice."""
+    parts = [" ", "  ", "\n", "\t", "a", "the", "'", "'s", "'re", "ll", "é", "ß\u0301", "1", "²", "!", ".", "\xa0", "\x85", "\x1c", "\0", "\u052f", "\r"]
+    odd = ["\u0530", "\u3000", "日本", "<|endoftext|>", "😀"]
+    texts = [None, "", "x" * 100, "it's 'so' they''ll\n\n 'd", *("".join(r.choice(parts + odd * (seed % 2)) for _ in range(r.randint(0, 12))) for seed in range(5000) for r in [random.Random(seed)])]
+    want = [[*ids_of(whole, t), 7] for t in texts]
+    for slots, size in ((tokens.SLOTS, tokens.SLICE), (50, 3000), (0, 1)):
+        monkeypatch.setattr(tokens, "SLOTS", slots)
+        monkeypatch.setattr(tokens, "SLICE", size)
+        codec = tokens.Codec(BPE, "bytes")
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.each([t if t is None else t.encode() for t in texts], b"\7\0\0\0")] == want
+        assert len(codec.slots) <= slots and len(codec.stops) == len(codec.slots) + 1 and len(codec.flat) == codec.stops[-1]
+    assert [bytes(x) for x in codec.each([b"a b", None])] == [np.array(ids_of(whole, "a b"), "<u4").tobytes(), b""] and not [*codec.each([])]
+
+
+def test_model_sees_each_pretoken_once(monkeypatch):
+    """Words with other marks and lines around them are no new words (they were encoded anew, and cut in Python)."""
+    codec, seen = tokens.Codec(BPE, "bytes"), []
+
+    class Model:
+        tokenize = staticmethod(lambda p, real=codec.model: seen.append(p) or real.tokenize(p))
+
+    codec.model = Model
+    monkeypatch.setattr(tokens.Codec, "pretokens", lambda *_: pytest.fail("a unit was cut in Python"))
+    texts = [f"kabelo{a}\nMatori{b} kabelo" for a in ("", ",", ".", "!") for b in ("", "'s", ";", "\n")]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.each([t.encode() for t in texts])] == [ids_of(codec.whole, t) for t in texts]
+    assert len(seen) == len(set(seen))
+
+
 def test_token_counts(docs, none, whole):
     got = token_counts.token_counts(docs, BPE).collect()
     want = [(i, len((t or "").encode()), len(ids_of(whole, t))) for i, t in ROWS]
