@@ -144,11 +144,10 @@ def write(docs: DataFrame, folder: str, path: str, *, doc_id: str = "doc_id", te
             return pa.RecordBatch.from_pydict({"pid": pa.array([pid], pa.int32()), "number": pa.array([number], pa.int32()), "n_ids": pa.array([size], pa.int64())})
 
         for b in batches:
-            for d, t in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), strict=True):
+            for d, x in zip(b.column("doc_id").to_pylist(), c.each(b.column("t").cast(pa.binary()).to_pylist(), end), strict=True):
                 if size >= shard_ids:
                     yield flush()
                     number, ids, held, counts, size = number + 1, [], [], [], 0
-                x = c.text(t) + end
                 ids.append(x)
                 held.append(d)
                 counts.append(len(x) // 4)

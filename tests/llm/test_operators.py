@@ -156,6 +156,23 @@ def test_token_files(docs, none, whole):
     assert token_files.round_trip(none, BPE).count() == 0
 
 
+def test_token_files_encode_plain_texts_in_slices(spark, whole, monkeypatch):
+    """Plain texts are not cut or joined word by word; shards need not end with slices."""
+
+    def slices_only(path, kind):
+        c = tokens.Codec(path, kind)
+        c.text = c.pretokens = None
+        return c
+
+    texts = [None if i % 50 == 7 else " ".join(f"w{i * k % 91},\nitem's" for k in range(i % 9)) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(token_files, "tokens", type("Codecs", (), {"codec": staticmethod(slices_only)}))
+    got = sorted(token_files.round_trip(docs, BPE, shard_ids=500).collect(), key=lambda r: r.start)
+    want = [[*ids_of(whole, t), 0] for t in texts]
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)]
+    assert [r.start for r in got] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+
+
 def test_shard_round_trip_and_ranges():
     rng = np.random.default_rng(0)
     for n in (1, 511, 512, 513, 5000):
