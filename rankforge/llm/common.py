@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from rankforge.sources.scratch import new_path
+from rankforge.sources.scratch import drop_table, new_path  # noqa: F401
 
 _held: dict = {}
 
@@ -71,14 +71,6 @@ def in_files(docs: DataFrame) -> DataFrame:
     return docs if plain and "_metadata" not in docs.columns else materialize(docs, "rows")
 
 
-def drop_table(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n, as a column."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
