@@ -142,35 +142,49 @@ def leakage(claims: Column, gold: Column, task: Column, source_key: Column, rule
 
 
 def alignment(fields: Column, gold: Column, claims: dict[str, Column], negative: Column, has_panel: Column, rules: Rules) -> Column:
-    """The answer's fields against the label, the claims in their order, and the label's negative markers."""
+    """The answer's fields against the label, the claims in their order, and the label's negative markers (their list's SHA-256)."""
     label = F.trim(F.coalesce(gold, F.lit("")))
     listed = lambda c, sep: F.when(F.size(c) > 0, F.array_join(F.transform(c, lambda x: x["value"]), sep)).otherwise(F.lit("none"))
     wanted = {"LABEL": label, "FINAL": label, "EVIDENCE": listed(claims["evidence"], ", "), "EXCLUSIONS": listed(claims["exclusion"], ", "), "CONTEXT": listed(claims["context"], "; ")}
     level = F.coalesce(said(fields, "CONFIDENCE"), F.lit(""))
     return joined(
         *[one("answer_text", "differs", ~sure(said(fields, k) == v), F.lit(k)) for k, v in wanted.items()],
-        one("answer_text", "differs", has_panel & said(fields, rules.panel).isNotNull() & ~sure(said(fields, rules.panel) == negative), F.lit(rules.panel)),
+        one("answer_text", "differs", has_panel & said(fields, rules.panel).isNotNull() & ~sure(F.sha2(said(fields, rules.panel), 256) == negative), F.lit(rules.panel)),
         one("answer_text", "confidence", ~F.lower(level).isin(*rules.levels), level),
     )
 
 
+#: Labels that are sent to all tasks; more are joined as other rows are.
+FEW_LABELS = 20_000
+
+
+def small(labels: DataFrame) -> DataFrame:
+    """A table of one row a label, told to be broadcast if it is small, so that rows need not move to their labels."""
+    return F.broadcast(labels) if labels.limit(FEW_LABELS + 1).count() <= FEW_LABELS else labels
+
+
 def looked_up(claims: DataFrame, profiles: DataFrame) -> DataFrame:
     """Claims (id, kind, n, value, verified, source, matched, direction, details, key) as one row an id: ``claims``, an array in order.
 
     A claim's profile is that of its matched label, an exclusion's otherwise of its value. ``profiles``: label, marker,
-    positive. Labels and pairs are joined by equality.
+    positive. Labels and pairs are joined by equality. Claims move once, to their id; only (id, label, marker) goes to
+    the catalog, and the pairs found there come back.
     """
-    labels = profiles.select(F.col("label").alias("profile"), F.lit(True).alias("has_profile")).distinct()
-    pairs = profiles.where("positive").select(F.col("label").alias("profile"), F.col("marker").alias("value"), F.lit(True).alias("approved")).distinct()
+    labels = small(profiles.select(F.col("label").alias("profile"), F.lit(True).alias("has_profile")).distinct())
+    pairs = profiles.where("positive").select(F.col("label").alias("profile"), F.col("marker").alias("value"))
     label = F.when(F.col("kind") == "exclusion", F.coalesce(F.when(F.col("matched") != "", F.col("matched")), F.col("value"))).otherwise(F.col("matched"))
-    c = claims.withColumn("profile", label).join(labels, "profile", "left").join(pairs, ["profile", "value"], "left")
-    told = claims.withColumn("profile", label).where("kind = 'exclusion'").select("id", "n", "profile", F.posexplode(detail_items(F.col("details"), "candidate_markers")).alias("at", "value"))
-    marks = told.join(pairs, ["profile", "value"], "left").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").alias("marker"), F.coalesce("approved", F.lit(False)).alias("approved")))).alias("marks"))
-    c = c.join(marks.withColumn("kind", F.lit("exclusion")), ["id", "n", "kind"], "left")
-    c = c.withColumns({k: F.coalesce(k, F.lit(False)) for k in ("has_profile", "approved")})
-    c = c.withColumn("marks", F.coalesce("marks", F.array().cast("array<struct<at: int, marker: string, approved: boolean>>")))
-    row = F.struct("n", "kind", "value", "verified", "source", "direction", "details", "key", "profile", "has_profile", "approved", "marks")
-    return c.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("claims"))
+    items = lambda c: F.when(c("kind") == "exclusion", detail_items(c("details"), "candidate_markers")).otherwise(F.array().cast("array<string>"))
+    c = claims.withColumn("profile", label)
+    asked = c.where("profile is not null").select("id", "profile", F.explode(F.array_distinct(F.concat(F.array("value"), items(F.col)))).alias("value"))
+    found = asked.join(pairs, ["profile", "value"], "left_semi").groupBy("id").agg(F.collect_set(F.struct("profile", "value")).alias("found"))
+    row = F.struct("n", "kind", "value", "verified", "source", "direction", "details", "key", "profile", F.coalesce("has_profile", F.lit(False)).alias("has_profile"))
+    held = c.join(labels, "profile", "left").groupBy("id").agg(F.collect_list(row).alias("claims")).join(found, "id", "left")
+    found = F.coalesce("found", F.array().cast(dict(held.dtypes)["found"]))
+    approved = lambda c, v: sure(F.array_contains(found, F.struct(c["profile"].alias("profile"), v.alias("value")))).alias("approved")
+    marks = lambda c: F.transform(items(lambda k: c[k]), lambda m, at: F.struct(at.alias("at"), m.alias("marker"), approved(c, m)))
+    told = ("n", "kind", "value", "verified", "source", "direction", "details", "key", "profile", "has_profile")
+    whole = F.transform("claims", lambda c: F.struct(*[c[k].alias(k) for k in told], approved(c, c["value"]), marks(c).alias("marks")))
+    return held.select("id", F.array_sort(whole).alias("claims"))
 
 
 def verify_examples(examples: DataFrame, claims: DataFrame, profiles: DataFrame, rules: Rules) -> DataFrame:
@@ -181,16 +195,16 @@ def verify_examples(examples: DataFrame, claims: DataFrame, profiles: DataFrame,
     answer's shape is right. Null lists are empty, a null flag is not verified.
     """
     none = F.array().cast("array<string>")
-    negative = profiles.where("not positive").groupBy(F.col("label").alias("lookup")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "marker"))).getField("marker"), ", ").alias("negative"))
+    negative = profiles.where("not positive").groupBy(F.col("label").alias("lookup")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("rank", "marker"))).getField("marker"), ", ").alias("negative")).select("lookup", F.sha2("negative", 256).alias("negative"))  # lists are long, and each goes to many rows
     x = examples.withColumn("lookup", F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in (F.col("canonical"), F.col("label"))]))
-    x = x.join(negative, "lookup", "left").join(looked_up(claims, profiles), "id", "left")
+    x = x.join(looked_up(claims, profiles), "id", "left").join(small(negative), "lookup", "left")
     x = x.withColumns({"genes": F.coalesce("genes", none), "candidates": F.coalesce("candidates", none), "answer_fields": answer_fields(F.col("answer")), "current": F.coalesce("current", F.lit(False))})
     kinds = ("evidence", "exclusion", "context")
     held = F.coalesce("claims", F.array().cast(dict(x.dtypes)["claims"]))
     x = x.withColumns({f"{k}_claims": F.filter(held, _of(k)) for k in kinds}).withColumn("shape", shape(F.col("answer_fields"), rules.fields))
     e, ex, co = (F.col(f"{k}_claims") for k in kinds)
     differential = F.coalesce(F.col("task") == rules.differential, F.lit(False))
-    aligned = alignment(F.col("answer_fields"), F.col("label"), {"evidence": e, "exclusion": ex, "context": co}, F.coalesce("negative", F.lit("none")), F.col("current"), rules)
+    aligned = alignment(F.col("answer_fields"), F.col("label"), {"evidence": e, "exclusion": ex, "context": co}, F.coalesce("negative", F.sha2(F.lit("none"), 256)), F.col("current"), rules)
     issues = joined(
         one("genes", "empty", F.size("genes") == 0),
         one("gold_fields", "no_label", F.coalesce(F.col("label"), F.lit("")) == ""),

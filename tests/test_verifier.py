@@ -29,6 +29,32 @@ def test_a_good_example_passes_and_each_fault_is_named(spark):
     assert judged(spark, [], [], []) == {}
 
 
+def test_claims_move_to_their_ids_and_keys_alone_to_the_catalog(spark, monkeypatch):
+    claims = [("a", "evidence", i, f"G{i % 3}", True, "marker_catalog", "Zeta" if i < 5 else None, None, None, None) for i in range(6)]
+    claims += [("b", "exclusion", i, "U", True, "marker_catalog", None, None, details, None) for i, details in enumerate((None, "candidate_markers=M1,,M2,M1", "x"))]
+    profiles = [("Zeta", "G1", True, 1), ("Zeta", "G1", True, 2), ("Zeta", "G2", False, 2), ("U", "M1", True, 1)]
+    want = {"a": [("Zeta", True, i % 3 == 1, []) for i in range(5)] + [(None, False, False, [])], "b": [("U", True, False, m) for m in ([], [("M1", True), ("M2", False), ("M1", True)], [])]}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (20_000, 0):
+            monkeypatch.setattr(verifier, "FEW_LABELS", few, raising=False)
+            found = verifier.looked_up(spark.createDataFrame(claims, CLAIM), spark.createDataFrame(profiles, PROFILE))
+            if few:
+                assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 5
+            got = {r["id"]: [(c["profile"], c["has_profile"], c["approved"], [(m["marker"], m["approved"]) for m in c["marks"]]) for c in r["claims"]] for r in found.collect()}
+            assert got == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_lists_of_negative_markers_stay_with_their_labels(spark):
+    found = verifier.verify_examples(spark.createDataFrame([], EXAMPLE), spark.createDataFrame([], CLAIM), spark.createDataFrame([], PROFILE), RULES)
+    joins = [x for x in found._jdf.queryExecution().analyzed().toString().split("\n") if "Join" in x]
+    assert "lookup" in joins[0] and "id#" in joins[1]  # last of all, and as a digest
+    assert "sha2" in found._jdf.queryExecution().analyzed().toString()
+
+
 def test_sample_rules_on_nulls_and_repeats(spark):
     schema = "n long, id string, family string, candidates array<string>, oracles array<string>, genes array<string>, support array<string>, abstain boolean, profiles map<string,array<string>>, profile_support map<string,array<string>>, combined array<string>"
     rows = [(1, "a", "single", ["e"], ["e"], ["g"], ["g"], None, None, None, None), (2, "a", "bundle", None, None, None, None, None, {"A": ["x"]}, {"A": ["x", "y"], "B": ["z"]}, ["x", "w"]), (3, None, "ood", ["e", "?"], ["?"], None, ["q"], None, None, None, None), (4, "d", "cross", ["e"], None, None, None, None, None, None, None)]
