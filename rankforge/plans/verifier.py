@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankforge.operators import verifier
+from rankforge.operators.factors import written
 from rankforge.plans.registry import query, t
 
 RULES = verifier.Rules(
@@ -21,6 +22,7 @@ def _examples(spark, d):
     some = part.where("p_type <> 'PROMO'").select(F.col("p_type").alias("label"), value.alias("marker"), "p_size", F.col("p_partkey").alias("rank"))
     profiles = some.where("p_size <= 40 or p_size = 50").select("label", "marker", (F.col("p_size") <= 40).alias("positive"), "rank")
     lines = t(spark, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey").join(part, "p_partkey")
+    lines = written(lines.select("l_orderkey", "l_linenumber", "p_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_tax", "l_discount", "p_type"), "lines")  # read many times
     n = F.struct("l_linenumber", "p_partkey", "l_suppkey")
     lines = lines.select(F.col("l_orderkey").alias("id"), n.alias("n"), value.alias("v"), "p_type", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_tax", F.when(F.col("l_tax") > 0, F.col("l_discount") <= 0.08).alias("verified"))
     cases = lines.groupBy("id").agg(F.min(F.struct("n", "p_type"))["p_type"].alias("first"), F.collect_set(F.when(~((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F")), F.col("v"))).alias("genes"), F.collect_set(F.when(F.col("l_linenumber") >= 6, F.col("p_type"))).alias("others"),
@@ -29,7 +31,7 @@ def _examples(spark, d):
     o = o.join(cases, "id", "left").withColumn("label", F.when((F.col("status") == "P") & (F.col("priority") == "2-HIGH"), F.lit(None)).otherwise(F.col("first")))
     key = F.when(F.col("segment") == "FURNITURE", "type").when(F.col("segment") == "HOUSEHOLD", "secret").otherwise("segment")
     told = F.when(key == "type", F.coalesce("label", F.lit("?"))).when(key == "secret", F.lit("x")).otherwise(F.concat("segment", F.when(F.col("priority") == "5-LOW", F.lit("!")).otherwise(F.lit(""))))
-    o = o.withColumn("key", key).withColumn("second", F.concat(key, F.lit("="), told))
+    o = written(o.withColumn("key", key).withColumn("second", F.concat(key, F.lit("="), told)), "orders")
     mine, none = F.coalesce("label", F.lit("")), lambda c: F.when(F.col(c) != "", F.col(c)).otherwise(F.lit("none"))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v)
     answer = F.concat_ws("\n", line("LABEL", F.when(F.col("cents") < 3, F.lower(mine)).otherwise(mine)), F.when(F.col("cents") < 95, line("EVIDENCE", none("evidence"))), line("EXCLUSIONS", none("exclusions")), F.when((F.col("status") == "O") & (F.col("cents") % 5 > 0), line("NEGATIVE_MARKERS", F.lit("none"))),
