@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import parsing as ps, text as tx
 from rankforge.operators import verifier, verify
+from rankforge.operators.factors import written
 from rankforge.plans.registry import query, t
 
 _CODES = "SELECT k, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS issues FROM {} GROUP BY 1"
@@ -23,7 +24,8 @@ def _claims(spark, d):
     """Each order's lines as claims in long form, its observed items, and the profiles: items of small parts by type."""
     part = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size")
     profiles = part.where("p_size <= 40 and p_type <> 'PROMO'").select(F.col("p_type").alias("label"), F.concat(F.lit("P"), "l_partkey").alias("marker"), F.lit(True).alias("positive"))
-    lines = t(spark, d, "lineitem").join(part, "l_partkey").withColumn("value", F.concat(F.lit("P"), "l_partkey"))
+    lines = t(spark, d, "lineitem").join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag", "l_discount", "p_type")
+    lines = written(lines, "lines").withColumn("value", F.concat(F.lit("P"), "l_partkey"))  # read three times
     source = F.when(F.col("l_quantity") > 48, "guess").when(F.col("l_linestatus") == "O", "observed_gene").otherwise("marker_catalog")
     n = F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("n")
     claims = lines.select(F.col("l_orderkey").alias("id"), n, "value", (F.col("l_discount") <= 0.08).alias("verified"), source.alias("source"), F.col("p_type").alias("matched"), F.col("l_returnflag").alias("flag"), F.lit("").alias("details"), F.lit("").alias("key"))
