@@ -1,10 +1,13 @@
 """Phrase collocations: merged count-min sketches, exact counts of what may be frequent, scores, subsumption.
 
-A first pass over the texts counts the n-grams of one to four words in a count-min sketch a task; counters saturate at
-255, sketches are added up block by block, and the sum (``2 * width`` bytes, at most ``2 * MOST``) is broadcast. It never
-says less than the true count, so the second pass sends on just the n-grams whose estimate, and that of whose every
-part, reaches ``min_count``: all frequent ones and few others, counted exactly by a grouped sum with map-side partial
-sums. ``width`` follows the input up to ``MOST`` (some 20 GB of text a sketch of that size prunes little and the second
+A first pass over the texts counts the n-grams of one to four words in a count-min sketch. Up to some 200 MB of text it is
+a sketch a task of two rows; counters saturate at 255, sketches are added up block by block, and the sum (``2 * width``
+bytes, at most ``2 * MOST``) is broadcast. Beyond, that would fill and let all pass: there the one row of counters, of up
+to ``BITS``, is held by no task. Tasks send (counter, count) of some millions of n-grams at a time to the counter's block,
+and of the sums only a bit each is broadcast, whether it reaches ``min_count`` (``width / 8`` bytes, at most 64 MB).
+Either never says less than the true count, so the second pass sends on just the n-grams whose estimate, and that of
+whose every part, reaches ``min_count``: all frequent ones and few others, counted exactly by a grouped sum with map-side
+partial sums. ``width`` follows the input up to ``BITS`` (some 20 counts a counter at 20 GB of text; far above, the second
 pass counts nearly all n-grams: the result is the same, the shuffle larger; ``min_count`` should grow with the corpus).
 Parts of a candidate are at least as frequent as it is, so their counts are there to be joined.
 
@@ -28,6 +31,7 @@ from .common import materialize
 #: A-Z to a-z, tab to space, piece ends to a byte that UTF-8 never has.
 WORDS = bytes(255 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else 32 if c == 9 else c for c in range(256))
 LONGEST, BLOCK, MOST, SLICE = 4, 1 << 16, 1 << 24, 1_000_000
+BITS, BUFFER = 1 << 29, 1 << 22
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -108,6 +112,17 @@ class Sketch:
         return (self.rows[0][a] >= least) & (self.rows[1][b] >= least)
 
 
+class Marks:
+    """A bit for each counter of a single row: whether it reaches the least count."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.width = bits, 8 * len(bits)
+
+    def reaches(self, h: np.ndarray, least: int) -> np.ndarray:
+        at = places(h, self.width)[0]
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def by_lang(b: pa.RecordBatch) -> Iterator[tuple[str, list[bytes | None]]]:
     """A batch's texts as bytes, language by language."""
     langs = b.column("lang").to_pylist()
@@ -159,18 +174,63 @@ def sketch(rows: DataFrame, width: int, tasks: int) -> np.ndarray:
     return out.reshape(2, width)
 
 
+def marks(rows: DataFrame, width: int, least: int) -> np.ndarray:
+    """The bits of ``Marks``. A task holds ``BUFFER`` n-grams, then the blocks of its share of the counters."""
+    blocks, most = width // BLOCK, BUFFER
+
+    def sent(held: list[np.ndarray]) -> pa.RecordBatch:
+        at, n = np.unique(places(np.concatenate(held), width)[0].astype(np.uint32), return_counts=True)
+        ends = np.searchsorted(at, np.arange(blocks + 1, dtype=np.uint64) * BLOCK)
+        some = np.flatnonzero(np.diff(ends))
+        binary = lambda x, size: pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((np.append(ends[some], len(at)) * size).astype(np.int32)), pa.py_buffer(x)])
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), binary((at % BLOCK).astype(np.uint16), 2), binary(np.minimum(n, 255).astype(np.uint8), 1)], ["block", "at", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for lang, texts in by_lang(b):
+                for words, seen in slices(texts):
+                    _, ids, hashes = word_hashes(words, lang)
+                    own = [h for _, _, h in ngrams(ids, hashes, seen)]
+                    held += own
+                    size += sum(map(len, own))
+                    if size >= most:
+                        yield sent(held)
+                        held, size = [], 0
+        if size:
+            yield sent(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i in range(len(b)):
+                block, at, n = (c[i].as_py() for c in b.columns)
+                if block not in totals:
+                    totals[block] = np.zeros(BLOCK, np.uint32)
+                totals[block][np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint8)  # each once
+        for block, total in totals.items():
+            if (bits := np.packbits(total >= least, bitorder="little")).any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["block", "c"])
+
+    sent_on = rows.mapInArrow(count, "block int, at binary, n binary").repartition(min(blocks, 256), "block")
+    out = np.zeros(width // 8, np.uint8)
+    for r in sent_on.mapInArrow(merge, "block int, c binary").collect():  # at most BITS / 8 bytes
+        out[r["block"] * (BLOCK // 8) :][: len(r["c"])] = np.frombuffer(r["c"], np.uint8)
+    return out
+
+
 def counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count: int = 30, width: int | None = None, task_bytes: int = 256 << 20) -> tuple[DataFrame, DataFrame]:
     """(lang, words, phrase, f) of every n-gram with f >= min_count, and (lang, n), the words of each language."""
     rows = texts_of(docs, text, lang)
     spark = docs.sparkSession
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    width = width or min(MOST, max(1 << 16, 1 << math.ceil(math.log2(size / 12 + 1))))  # an n-gram begins at every sixth byte or so, for each length
+    width = width or min(BITS, max(1 << 16, 1 << math.ceil(math.log2(size / 12 + 1))))  # an n-gram begins at every sixth byte or so, for each length
     tasks = max(spark.sparkContext.defaultParallelism, -(-size // task_bytes))  # a sketch a task: texts are read in larger tasks
-    shared = spark.sparkContext.broadcast(sketch(rows, width, tasks))
-    least = min(min_count, 255)
+    least, dense = min(min_count, 255), width <= MOST
+    shared = spark.sparkContext.broadcast(sketch(rows, width, tasks) if dense else marks(rows, width, least))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merged = Sketch(width, shared.value)
+        merged = Sketch(width, shared.value) if dense else Marks(shared.value)
         for b in batches:
             for of, texts in by_lang(b):
                 for words, seen in slices(texts):
@@ -181,15 +241,15 @@ def counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", min_count
     return sums.where("words > 0"), sums.where("words = 0").select("lang", F.col("f").alias("n"))
 
 
-def _frequent(merged: Sketch, lang: str, words: list[bytes], seen: int, least: int) -> Iterator[pa.RecordBatch]:
+def _frequent(merged: Sketch | Marks, lang: str, words: list[bytes], seen: int, least: int) -> Iterator[pa.RecordBatch]:
     """A slice's n-grams that may be frequent, each once with its count; 0 words: the number of words."""
     names, ids, hashes = word_hashes(words, lang)
     may, numbers, texts = np.zeros(len(ids), bool), None, None
     for n, at, h in ngrams(ids, hashes, 0):
-        good = merged.reaches(h, least)
-        if n > 1:
-            good &= may[at] & may[at + 1]
-        at = at[good]
+        if n > 1:  # only where both parts may be frequent
+            good = may[at] & may[at + 1]
+            at, h = at[good], h[good]
+        at = at[merged.reaches(h, least)]
         may = np.zeros(len(ids), bool)
         may[at] = True
         key = ids[at] if n == 1 else numbers[at] * (len(names) + 1) + ids[at + n - 1]

@@ -201,6 +201,18 @@ def test_sketch_never_says_less():
     assert s.reaches(h[times >= 30], 30).all()
 
 
+def test_counters_that_no_task_holds(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [(r.choice(["de", None]), " ".join(r.choices(["a", "b", "c", "d.", "e", *(str(i) for i in range(3000))], [300] * 5 + [1] * 3000, k=80))) for _ in range(400)]
+    df = spark.createDataFrame(texts, "lang string, text string").repartition(3)
+    monkeypatch.setattr(phrases, "MOST", 1 << 8)
+    monkeypatch.setattr(phrases, "BUFFER", 5000)  # several counts a counter
+    bits = phrases.marks(phrases.texts_of(df, "text", "lang"), 1 << 20, 30)
+    assert 0 < np.unpackbits(bits).sum() < 1000  # of some 80,000 n-grams those that are frequent, where 2^8 counters let all pass
+    got = sorted(map(tuple, phrases.mine(df).collect()))
+    assert got == plain_phrases(texts, 30) and got
+
+
 def plain_edit(item, text):
     """The least distance of the item to a part of the text; of its first end the shortest such part."""
     row = [[(0, j) for j in range(len(text) + 1)]]
