@@ -55,6 +55,13 @@ def test_lists_of_negative_markers_stay_with_their_labels(spark):
     assert "sha2" in found._jdf.queryExecution().analyzed().toString()
 
 
+def test_report_makes_the_results_once(spark):
+    results = spark.createDataFrame([("a", True, []), ("a", False, [("f", "c", "v"), ("f", "c", "w")]), ("b", False, [("f", "d", None)])], f"task string, passed boolean, issues {verifier.ISSUES}")
+    found = verifier.report(results)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan") == 1
+    assert sorted(map(tuple, found.collect())) == [("a", "", "passed", 1), ("a", "", "rows", 2), ("a", "f", "c", 2), ("b", "", "passed", 0), ("b", "", "rows", 1), ("b", "f", "d", 1)]
+
+
 def test_sample_rules_on_nulls_and_repeats(spark):
     schema = "n long, id string, family string, candidates array<string>, oracles array<string>, genes array<string>, support array<string>, abstain boolean, profiles map<string,array<string>>, profile_support map<string,array<string>>, combined array<string>"
     rows = [(1, "a", "single", ["e"], ["e"], ["g"], ["g"], None, None, None, None), (2, "a", "bundle", None, None, None, None, None, {"A": ["x"]}, {"A": ["x", "y"], "B": ["z"]}, ["x", "w"]), (3, None, "ood", ["e", "?"], ["?"], None, ["q"], None, None, None, None), (4, "d", "cross", ["e"], None, None, None, None, None, None, None)]
